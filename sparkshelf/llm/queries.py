@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkshelf.llm import fingerprints, mixing, near_copies, packing, secrets, token_counts
+from sparkshelf.llm import archive, fingerprints, mixing, near_copies, packing, quality, secrets, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_documents(spark, sf_dir))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_documents(spark, sf_dir))
 
@@ -29,6 +33,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.order_minhash(_documents(spark, sf_dir))
 
@@ -38,8 +46,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scans, op3_best_fit_packing, op4_near_dedup, op5_mixing, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_near_dedup, op5_mixing, op8_warc_archive, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op8_warc_archive": archive.ARCHIVE_SQL}
