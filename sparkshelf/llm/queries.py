@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkshelf.llm import archive, fingerprints, mixing, near_copies, packing, quality, secrets, token_counts
+from sparkshelf.llm import archive, fingerprints, licenses, mixing, near_copies, packing, quality, secrets, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -46,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_near_dedup, op5_mixing, op8_warc_archive, op9_fingerprints, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op3_best_fit_packing, op4_near_dedup, op5_mixing, op6_license_scans, op7_toxicity, op8_warc_archive, op9_fingerprints, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
