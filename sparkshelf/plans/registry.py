@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from sparkshelf.plans import text
+
+MODULES = (text,)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
