@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkshelf.plans import text
+from sparkshelf.plans import retrieval, text
 
-MODULES = (text,)
+MODULES = (text, retrieval)
 
 
 def queries() -> dict:

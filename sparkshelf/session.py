@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -10,6 +12,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # with adaptive execution the parts of a union can be coalesced differently
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -19,5 +23,14 @@ def session(master: str = "local[8]", partitions: int = 8, **extra: str) -> Spar
     return SparkSession.builder.master(master).config(map=conf).getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """For a session that was made elsewhere: the setting on unions, and this package on the Python workers' path."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
