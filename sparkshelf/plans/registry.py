@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkshelf.plans import retrieval, text
+from sparkshelf.plans import labels, retrieval, text
 
-MODULES = (text, retrieval)
+MODULES = (text, retrieval, labels)
 
 
 def queries() -> dict:
