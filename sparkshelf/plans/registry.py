@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkshelf.plans import labels, retrieval, text
+from sparkshelf.plans import labels, logs, retrieval, text
 
-MODULES = (text, retrieval, labels)
+MODULES = (text, retrieval, labels, logs)
 
 
 def queries() -> dict:

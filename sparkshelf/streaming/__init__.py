@@ -1 +1 @@
-"""Streaming of the retrieval engine."""
+"""Structured Streaming forms of the log operators."""
