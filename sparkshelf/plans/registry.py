@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkshelf.plans import labels, logs, retrieval, text
+from sparkshelf.plans import extras, labels, logs, retrieval, text
 
-MODULES = (text, retrieval, labels, logs)
+MODULES = (text, retrieval, labels, logs, extras)
 
 
 def queries() -> dict:
