@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkshelf.llm.ragged import U64, cut, mix64
+from sparkshelf.llm.ragged import U64, cut, mix64, small_batches
 
 K, SKETCHES, TUPLE = 8, 24, 2
 _SEEDS = mix64(np.arange(1, 256, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -83,6 +83,7 @@ def order_minhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     too, so that every document meets the next one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"))).where("doc_id IS NOT NULL")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkshelf.llm.bpe import bpe
-from sparkshelf.llm.ragged import Texts, cut, map_slices
+from sparkshelf.llm.ragged import Texts, cut, map_slices, small_batches
 from sparkshelf.llm.token_counts import vocabulary
 
 CAPACITY, END = 2048, 0
@@ -189,6 +189,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, effort: int = EFFORT, tokenizer: str = "byte_bpe_50k.json", end: int = END) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut_pieces = cut(pieces(docs, id_col, text_col, capacity, tokenizer, end).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
     cells = cut(cut_pieces.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")))

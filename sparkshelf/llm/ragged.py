@@ -14,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+BATCH_BYTES = "4m"
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -132,6 +133,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """Applies ``work`` to every slice; it returns the columns of ``schema`` (in that order) or None."""
     names = [x.strip().split()[0] for x in schema.split(",")]
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -143,6 +145,17 @@ def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most, unless the session says otherwise: rows are texts, and batches stand in memory on both sides.
+
+    Unions forget how their parts are dealt out: with adaptive execution the parts can be coalesced differently.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of these lengths: each element's row, and its place within the row."""
     counts = np.asarray(counts, np.int64)
@@ -165,4 +178,5 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows in the shared checkpoint folder, so that a lost executor costs no recomputation of what led to them."""
     checkpoint_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkshelf.llm.ragged import LOWER, Texts, map_slices
+from sparkshelf.llm.ragged import LOWER, Texts, map_slices, slices, small_batches
 
 try:
     from re import _constants as sre
@@ -240,9 +240,9 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # whatever the names
 
-    def run(batches):
-        from sparkshelf.llm.ragged import slices
+    small_batches(docs.sparkSession)
 
+    def run(batches):
         for batch in batches:
             for part in slices(batch, f"c{at}"):
                 made = work(part)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkshelf.llm.ragged import Texts, map_slices
+from sparkshelf.llm.ragged import Texts, map_slices, small_batches
 
 SAMPLE = 8000
 PREFIXES = range(3, 10)
@@ -140,7 +140,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
     """From labelled documents; ``labels`` (id, label) are those that may be learned from."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals.get(0) or not totals.get(1):
