@@ -43,4 +43,4 @@ def test_entry_and_llm_are_separate():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for f in glob.glob(f"{root}/sparkshelf/**/*.py", recursive=True):
         if "/llm/" not in f:
-            assert "llm" not in open(f).read(), f
+            assert ".llm" not in open(f).read(), f
