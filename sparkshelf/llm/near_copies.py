@@ -12,10 +12,14 @@ threshold; components of links are the groups.
 * Pairs are judged by the joint likelihood of their registers given both exact
   set sizes, and dropped only if the threshold lies ``DOUBT`` below the best
   similarity in log-likelihood (six standard deviations).
-* The rest is verified on the full sets: first each class with its likeliest
-  partner, then one pair of each two components, and at last every pair of
-  classes that share a bucket and still lie in different components.  Pairs
-  inside a component need no test, since it is what the result tells.
+* Classes joined by allowed pairs form a cluster, and all classes of a cluster
+  meet, in blocks, by their exact sets.  In clusters of more than ``LARGE_CLUSTER``
+  classes each class is verified with its likeliest partner first, and only
+  classes of different components meet.
+* Classes of different clusters that share a bucket are judged by registers (small
+  buckets by a join, large ones in blocks) and verified.  A task that compares
+  blocks gives links or allowed pairs only, so no row is made for each pair of a
+  group.
 
 Null and blank texts have empty sets and link with nothing; a text with fewer
 words than a shingle is one shingle.  Null ids take part and never name a group
@@ -31,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkshelf.llm.ragged import U64, Texts, cut, map_slices, mix64, slices
+from sparkshelf.llm.ragged import U64, Texts, cut, map_slices, mix64, slices, small_batches
 
 WIDTH, THRESHOLD = 2, (80, 100)
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, DOUBT = 1.1, 20.0, 18.0
+SMALL_BUCKET, BLOCK, PAIRS, LARGE_CLUSTER, PARTITION_ROWS = 12, 256, 8192, 2048, 100_000
 _SEEDS = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SPREAD = U64(0xD6E8FEB86659FD93)
 
@@ -132,7 +137,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """key, band (with the band's registers, hashed): a row per class and band."""
+    """key, band (a hash of its number and registers), place (its number): a row per class and band."""
 
     def work(batches):
         for b in batches:
@@ -143,9 +148,9 @@ def _buckets(classes: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 band = mix64(band * U64(0x100000001B3) + regs[:, :, r])
             keys = b.column("key").take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(band.reshape(-1).view(np.int64))], ["key", "band"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(band.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows))], ["key", "band", "place"])
 
-    return classes.select("key", "regs").mapInArrow(work, "key binary, band long")
+    return classes.select("key", "regs").mapInArrow(work, "key binary, band long, place int")
 
 
 def _judged(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -205,27 +210,139 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: tuple[i
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a binary, b binary")
 
 
-def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """key, label (least key reachable) of every key in links (a, b); ``known``: labels of fewer links to start from."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("key"), F.least("a", "label").alias("label"))
-    if known is not None:
-        labels = labels.unionByName(known).groupBy("key").agg(F.min("label").alias("label"))
-    labels = cut(labels)
+def _across_blocks(marked: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b of different clusters that share a bucket and that their registers allow, each pair once.
+
+    ``marked``: band, place, key, cluster, n (classes in the bucket).
+    """
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = marked.withColumn("own", F.pmod(F.xxhash64("key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("band", "place", "key", "cluster", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(classes.select("key", "regs", "n_shingles"), "key")
+
+    def compare(table):
+        out_a, out_b = [], []
+        keys, clusters = table.column("key").to_pylist(), table.column("cluster").to_pylist()
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)[order]
+        size, own = np.asarray(table.column("n_shingles"))[order], np.asarray(table.column("own"))[order]
+        x, y, place = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("place")[0].as_py()
+        cluster = _numbered(clusters)[order]
+        keys = [keys[i] for i in order]
+        rows = max(1, PAIRS // len(keys))
+        for first in range(0, len(keys), rows):
+            mine = np.arange(first, min(first + rows, len(keys)))
+            # two of one block meet where both blocks are theirs, others where the blocks differ
+            meet = (cluster[mine, None] != cluster) & (np.arange(len(keys)) > mine[:, None])
+            if x != y:
+                meet &= own[mine, None] != own
+            i, j = np.nonzero(meet)
+            i += first
+            agree = (regs[i] == regs[j]).reshape(-1, BANDS, ROWS).all(2)
+            once = agree.argmax(1) == place  # only in the first bucket that they share
+            i, j = i[once], j[once]
+            if len(i):
+                _, keep = likely(regs[i], regs[j], size[i], size[j], threshold)
+                out_a += [keys[k] for k in i[keep].tolist()]
+                out_b += [keys[k] for k in j[keep].tolist()]
+        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+
+    return dealt.groupBy("band", "x", "y").applyInArrow(compare, "a binary, b binary")
+
+
+def _numbered(values: list) -> np.ndarray:
+    number = {v: i for i, v in enumerate(dict.fromkeys(values))}
+    return np.array([number[v] for v in values], np.int64)
+
+
+def _within_clusters(members: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between components of a cluster, found by the exact sets of all its classes.
+
+    ``members``: cluster, label, key.  Components of ``BLOCK`` classes or more have
+    blocks of their own, smaller ones share blocks; blocks meet in pairs, but not
+    two of one component.  A task gives at most one link for each two components.
+    """
+    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("c"))
+    totals = sizes.groupBy("cluster").agg(F.sum(F.when(F.col("c") < BLOCK, F.col("c")).otherwise(0)).alias("rest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("cluster", "rest")
+    spread = F.xxhash64("key")
+    large = F.col("c") >= BLOCK
+    placed = members.join(sizes, ["cluster", "label"]).join(totals, "cluster")
+    placed = placed.select(
+        "cluster", "label", "key", F.when(large, F.col("label")).alias("owner"),
+        F.concat_ws("-", F.when(large, F.hex("label")).otherwise(""), F.pmod(spread, F.when(large, F.ceil(F.col("c") / BLOCK)).otherwise(F.ceil(F.col("rest") / BLOCK))).cast("string")).alias("block"),
+    )
+    placed = cut(placed)
+    blocks = cut(placed.select("cluster", "block", "owner").distinct())
+    x, y = (blocks.select("cluster", F.col("block").alias(n), F.col("owner").alias(f"o{n}")) for n in "xy")
+    meets = x.join(y, "cluster").where("x <= y AND (ox IS NULL OR oy IS NULL OR ox != oy)").select("cluster", "x", "y")
+    sides = meets.select("cluster", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    dealt = placed.join(sides, ["cluster", "block"]).join(texts, "key").select("cluster", "x", "y", "block", "label", "key", "text")
+
+    def compare(table):
+        keys, block = table.column("key").to_pylist(), np.array(table.column("block").to_pylist())
+        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        label = _numbered(table.column("label").to_pylist())
+        hashes, counts = shingle_sets(Texts(table.column("text")), width)
+        ids = np.unique(hashes, return_inverse=True)[1]
+        firsts = np.cumsum(counts) - counts
+        marked = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+        joined = np.arange(label.max() + 1)  # components put together here
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out_a, out_b = [], []
+        for i in left.tolist():
+            others = right[joined[label[right]] != joined[label[i]]]
+            if not len(others):
+                continue
+            mine = ids[firsts[i] : firsts[i] + counts[i]]
+            marked[mine] = True
+            shared = np.add.reduceat(marked[ids], firsts)[others]
+            marked[mine] = False
+            near = others[threshold[1] * shared >= threshold[0] * (counts[i] + counts[others] - shared)]
+            for j in near.tolist():
+                if joined[label[i]] != joined[label[j]]:
+                    joined[joined == joined[label[j]]] = joined[label[i]]
+                    out_a.append(keys[i])
+                    out_b.append(keys[j])
+        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+
+    return dealt.groupBy("cluster", "x", "y").applyInArrow(compare, "a binary, b binary")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """key, label (least key reachable) of every key in links (a, b).
+
+    Links are contracted: each round every key points to its least neighbour, then
+    to where that points, and links go on between what is pointed at, so that far
+    fewer are left.
+    """
+    edges = _settled(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        spread = edges.join(labels, F.col("b") == F.col("key")).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(spread, F.col("key") == F.col("a"), "left").select("key", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        moved = cut(moved.join(jump, "label", "left").select("key", "was", F.least("label", "far").alias("label")))
-        changed = moved.where("label != was").limit(1).count()
-        labels = moved.select("key", "label")
-        if not changed:
+        least = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near"))
+        point = _settled(least.select("key", F.least("key", "near").alias("label")))
+        far = point.select(F.col("key").alias("label"), F.col("label").alias("far"))
+        point = _settled(point.join(far, "label").select("key", F.col("far").alias("label")))
+        if labels is None:
+            labels = point
+        else:
+            onward = point.select(F.col("key").alias("label"), F.col("label").alias("next"))
+            labels = _settled(labels.join(onward, "label", "left").select("key", F.coalesce("next", "label").alias("label")))
+        for x in "ab":
+            edges = edges.join(point.select(F.col("key").alias(x), F.col("label").alias("l")), x).drop(x).withColumnRenamed("l", x)
+        edges = _settled(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if not edges.head(1):
             return labels
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Checkpointed, in as few partitions as its counted rows need."""
+    df = cut(df)
+    return df.coalesce(max(1, -(-df.count() // PARTITION_ROWS)))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_shingles, key) and classes (key, label, first_id, component_id)."""
     least = threshold[0] / threshold[1]
+    small_batches(docs.sparkSession)
     rows = cut(signatures(docs, id_col, text_col, width))
     classes = cut(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
     buckets = _buckets(classes)
@@ -233,39 +350,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = buckets.join(pivots, "band").where("key != pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     judged = cut(_judged(met, classes, least))
     # classes that share a bucket with another: the only texts that will be needed
-    shared = cut(buckets.join(pivots.select("band"), "band").select("key", "band"))
+    shared = cut(buckets.join(pivots.select("band"), "band").select("key", "band", "place"))
     some = shared.select("key").distinct()
     texts = _keyed_texts(docs, text_col, width).join(some, "key").groupBy("key").agg(F.first("text").alias("text"))
     texts = cut(texts)
 
-    # each class with its likeliest partner
-    ends = judged.select(F.col("a").alias("key"), "a", "b", "likeness").union(judged.select("b", "a", "b", "likeness"))
-    first = ends.groupBy("key").agg(F.max(F.struct("likeness", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = cut(_verified(first, texts, width, threshold))
-    labels = components(links)
-
-    def placed(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(labels.select(F.col("key").alias(x), F.col("label").alias(f"l{x}")), x, "left").withColumn(f"l{x}", F.coalesce(f"l{x}", x))
-        return pairs.where("la != lb")
-
-    # one pair, the likeliest, of each two components
-    open_pairs = placed(judged.join(first, ["a", "b"], "left_anti"), labels)
-    second = open_pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max(F.struct("likeness", "a", "b")).alias("z")).select("z.a", "z.b")
-    second = cut(second)
-    more = cut(_verified(second, texts, width, threshold))
-    links = links.union(more)
-    labels = components(links, labels)
-    # all that share a bucket across components
-    marked = shared.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = marked.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("band")
+    # classes joined by pairs that the registers allow
+    clusters = components(judged).withColumnRenamed("label", "cluster")
+    large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_CLUSTER).select("cluster")
+    members = clusters.select("cluster", F.col("key").alias("label"), "key")
+    links = None
+    if large.head(1):
+        # there, each class with its likeliest partner first, so that few components are left to compare
+        inside = judged.join(clusters.select(F.col("key").alias("a"), "cluster"), "a").join(large, "cluster", "left_semi")
+        ends = inside.select(F.col("a").alias("key"), "a", "b", "likeness").union(inside.select("b", "a", "b", "likeness"))
+        first = ends.groupBy("key").agg(F.max(F.struct("likeness", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
+        links = cut(_verified(first, texts, width, threshold))
+        members = clusters.join(components(links), "key", "left").select("cluster", F.coalesce("label", "key").alias("label"), "key")
+    found = _within_clusters(members, texts, width, threshold)
+    links = found if links is None else links.union(found)
+    # classes of different clusters that share a bucket
+    marked = shared.join(clusters, "key", "left").withColumn("cluster", F.coalesce("cluster", "key"))
+    mixed = marked.groupBy("band").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y"), F.count(F.lit(1)).alias("n")).where("x != y").select("band", "n")
     marked = cut(marked.join(mixed, "band"))
-    a, b = (marked.select("band", F.col("key").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    rest = a.join(b, "band").where("a < b AND la != lb").select("a", "b").distinct()
-    rest = rest.join(first.union(second), ["a", "b"], "left_anti")
-    rest = cut(_judged(rest, classes, least))
-    last = cut(_verified(rest, texts, width, threshold))
-    labels = components(links.union(last), labels)
+    a, b = (marked.where(F.col("n") <= SMALL_BUCKET).select("band", F.col("key").alias(x), F.col("cluster").alias(f"c{x}")) for x in "ab")
+    rest = a.join(b, "band").where("a < b AND ca != cb").select("a", "b").distinct()
+    large = _across_blocks(marked.where(F.col("n") > SMALL_BUCKET), classes, least)
+    rest = cut(_judged(rest, classes, least).select("a", "b").union(large).distinct())
+    labels = components(links.union(_verified(rest, texts, width, threshold)))
 
     grouped = classes.select("key", "first_id").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     named = grouped.join(labels.select("key"), "key", "left_semi").groupBy("label").agg(F.min("first_id").alias("component_id"))
