@@ -3,7 +3,8 @@
 Every license family gives rules from the same hand-written forms (identifier
 line, grant, name, address, file head), so the families below make some hundreds
 of regexes.  One Aho-Corasick pass over a lower-cased text finds the keywords;
-only rules whose keyword is there run.  Of the detections, taken by priority and
+only rules one of whose keywords is there run, and every match of a rule contains
+one.  Of the detections, taken by priority and
 then length, one that lies within an accepted one is suppressed; the rest name
 the text's labels.
 
@@ -26,7 +27,7 @@ from sparkshelf.llm.ragged import Texts, map_slices
 WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label, keyword, name (a regex on lower-cased text), identifiers, address; fixed values.
+#: label, keywords (every match of the name has one of them), name (a regex on lower-cased text), identifiers, address; fixed values.
 FAMILIES: tuple[tuple[str, str, str, str, str], ...] = (
     ("mit", "mit", r"mit", r"mit(?:-0)?", r"opensource\.org/licenses?/mit"),
     ("apache", "apache", r"apache(?: software)?", r"apache-[12]\.[01]", r"apache\.org/licenses"),
@@ -59,9 +60,10 @@ FAMILIES: tuple[tuple[str, str, str, str, str], ...] = (
     ("cc-by-sa", "creative commons", r"creative commons attribution[ -]share[ -]?alike", r"cc-by-sa-[1234]\.[05]", r"creativecommons\.org/licenses/by-sa/"),
     ("cc-by-nc", "creative commons", r"creative commons attribution[ -]non[ -]?commercial", r"cc-by-nc-[1234]\.[05]", r"creativecommons\.org/licenses/by-nc/"),
     ("cc-by-nd", "creative commons", r"creative commons attribution[ -]no[ -]?deriv[a-z]*", r"cc-by-nd-[1234]\.[05]", r"creativecommons\.org/licenses/by-nd/"),
-    ("cc-by-sa", "cc-by-sa", r"cc-by-sa", r"cc-by-sa", r"creativecommons\.org/licenses/sa/"),
-    ("cc-by-nc", "cc-by-nc", r"cc-by-nc(?:-sa|-nd)?", r"cc-by-nc-(?:sa|nd)-[1234]\.[05]", r"creativecommons\.org/licenses/by-nc-(?:sa|nd)/"),
-    ("cc-by", "cc-by", r"cc[ -]by", r"cc-by", r"creativecommons\.org/licenses/by$"),
+    ("cc-by-sa", "cc by|cc-by", r"cc[ -]by[ -]sa", r"cc-by-sa", r"creativecommons\.org/licenses/sa/"),
+    ("cc-by-nc", "cc by|cc-by", r"cc[ -]by[ -]nc(?:[ -](?:sa|nd))?", r"cc-by-nc-(?:sa|nd)-[1234]\.[05]", r"creativecommons\.org/licenses/by-nc-(?:sa|nd)/"),
+    ("cc-by-nd", "cc by|cc-by", r"cc[ -]by[ -]nd", r"cc-by-nd", r"creativecommons\.org/licenses/nd/"),
+    ("cc-by", "cc by|cc-by", r"cc[ -]by", r"cc-by", r"creativecommons\.org/licenses/by$"),
     ("odbl", "odbl", r"odbl", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
     ("odbl", "open database", r"open database", r"odc-odbl", r"opendatacommons\.org/odbl"),
     ("pddl", "pddl", r"pddl", r"pddl-1\.0", r"opendatacommons\.org/licenses/pddl"),
@@ -71,10 +73,10 @@ FAMILIES: tuple[tuple[str, str, str, str, str], ...] = (
     ("cecill", "cecill", r"cecill(?:-[bc])?", r"cecill-(?:[bc]|[12]\.[01])", r"cecill\.info/licen"),
     ("ms-pl", "microsoft public", r"microsoft public", r"ms-pl", r"opensource\.org/licenses?/ms-pl"),
     ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal", r"ms-rl", r"opensource\.org/licenses?/ms-rl"),
-    ("osl", "open software license", r"open software", r"osl-[123]\.[01]", r"opensource\.org/licenses?/osl"),
+    ("osl", "open software", r"open software", r"osl-[123]\.[01]", r"opensource\.org/licenses?/osl"),
     ("afl", "academic free", r"academic free", r"afl-[123]\.[012]", r"opensource\.org/licenses?/afl"),
     ("python", "python", r"python(?: software foundation)?", r"(?:psf|python)-2\.0(?:\.1)?", r"python\.org/(?:psf/license|[0-9.]+/license)"),
-    ("php", "php license", r"php", r"php-3\.0?1?", r"php\.net/license"),
+    ("php", "php", r"php", r"php-3\.0?1?", r"php\.net/license"),
     ("ruby", "ruby", r"ruby", r"ruby", r"ruby-lang\.org/[^ ]*license"),
     ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa(?: open source)?", r"ncsa", r"opensource\.org/licenses?/ncsa"),
     ("openssl", "openssl", r"openssl", r"openssl(?:-standalone)?", r"openssl\.org/source/license"),
@@ -82,8 +84,8 @@ FAMILIES: tuple[tuple[str, str, str, str, str], ...] = (
     ("upl", "universal permissive", r"universal permissive", r"upl-1\.0", r"opensource\.org/licenses?/upl"),
     ("sspl", "server side public", r"server side public", r"sspl-1\.0", r"mongodb\.com/licensing/server-side-public"),
     ("busl", "business source", r"business source", r"busl-1\.1", r"mariadb\.com/bsl"),
-    ("elastic", "elastic license", r"elastic", r"elastic-2\.0", r"elastic\.co/licensing/elastic-license"),
-    ("vim", "vim license", r"vim", r"vim", r"vimdoc\.sourceforge\.net/htmldoc/uganda"),
+    ("elastic", "elastic", r"elastic", r"elastic-2\.0", r"elastic\.co/licensing/elastic-license"),
+    ("vim", "vim", r"vim", r"vim", r"vimdoc\.sourceforge\.net/htmldoc/uganda"),
     ("wxwindows", "wxwindows", r"wxwindows(?: library)?", r"wxwindows", r"wxwidgets\.org/about/licence"),
     ("proprietary", "all rights reserved", r"all rights reserved\.? proprietary", r"licenseref-proprietary", r"example\.com/proprietary"),
 )
@@ -102,12 +104,13 @@ class Rules:
         import ahocorasick
 
         self.rules = [(label, priority, sure, re.compile(form.format(name=f"(?:{name})", ids=ids, url=url))) for label, _, name, ids, url in families for form, priority, sure in forms]
-        # keyword -> rules; an address or an identifier line is a keyword of its own
+        # keyword -> rules; an address or an identifier line has a keyword of its own
         gates: dict[str, list[int]] = {}
-        for f, (_, keyword, *_rest) in enumerate(families):
+        for f, (_, keywords, *_rest) in enumerate(families):
             for k, (form, *_x) in enumerate(forms):
-                gate = "spdx-license" if "spdx" in form else "://" if "{url}" in form else keyword if "{ids}" not in form else "licen"
-                gates.setdefault(gate, []).append(f * len(forms) + k)
+                gate = "spdx-license" if "spdx" in form else "://" if "{url}" in form else keywords if "{ids}" not in form else "licen"
+                for word in gate.split("|"):
+                    gates.setdefault(word, []).append(f * len(forms) + k)
         self.automaton = ahocorasick.Automaton()
         for word, numbers in gates.items():
             self.automaton.add_word(word, numbers)

@@ -275,6 +275,55 @@ def test_licenses(spark):
     assert len(licenses.rules().rules) > 200
 
 
+def _spellings(parsed, many=400):
+    """Strings that a parsed regex matches: all branches, optional parts with and without, the ends of classes."""
+    out = [""]
+    for op, what in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            new = [chr(what)]
+        elif op == "IN":
+            new = [x for kind, v in what for x in ([chr(v)] if str(kind) == "LITERAL" else [chr(v[0]), chr(v[1])])]
+        elif op == "NOT_LITERAL":
+            new = ["x"]
+        elif op == "SUBPATTERN":
+            new = _spellings(what[3])
+        elif op == "BRANCH":
+            new = [x for b in what[1] for x in _spellings(b)]
+        elif op == "MAX_REPEAT":
+            new = ["", *_spellings(what[2])] if what[0] == 0 else _spellings(what[2])
+        else:
+            assert op == "AT", op
+            new = [""]
+        out = list(dict.fromkeys(a + b for a in out for b in new))[:many]
+    return out
+
+
+def test_license_keywords_lose_no_match():
+    """Gated and ungated detection agree on every spelling of every family's name, identifiers and address."""
+    from types import SimpleNamespace
+
+    gated, ungated = licenses.Rules(), licenses.Rules()
+    ungated.automaton = SimpleNamespace(iter=lambda low: [(0, range(len(ungated.rules)))])
+    spell = lambda regex: _spellings(licenses.re._parser.parse(regex))
+    for label, _, name, ids, url in licenses.FAMILIES:
+        texts = [form.format(x) for x in spell(name) for form in ("licensed under the {}", "released by {} licence", "the {} license, version 2.0", "see {} licence", "licence: {}", "license = '{}'")]
+        texts += [form.format(x) for x in spell(ids) for form in ("spdx-license-identifier: {}", "spdx-license-identifier:\tmit or {}", "licence: {}")] + [f"http://www.{x}" for x in spell(url)]
+        for text in texts:
+            assert gated.detect(text) == ungated.detect(text) != [], (label, text)
+
+
+def test_creative_commons_short_names(spark):
+    rest = {"": "cc-by", "sa": "cc-by-sa", "nc": "cc-by-nc", "nd": "cc-by-nd", "nc-sa": "cc-by-nc", "nc nd": "cc-by-nc"}
+    for name, label in rest.items():
+        for a, b in ((" ", "-"), ("-", "-"), (" ", " "), ("-", " ")):
+            short = f"cc{a}by{b}{name}" if name else f"cc{a}by"
+            for text in (f"licensed under {short} 4.0.", f"the {short} licence", f"license: {short}"):
+                assert {x for _, _, x, _ in licenses.rules().detect(text)} == {label}, text
+    got = licenses.scan_licenses(spark.createDataFrame([(0, "Licensed under CC BY-NC 4.0.")], "doc_id long, text string")).head()
+    assert got.labels == "cc-by-nc" and got.score > 0
+
+
 def test_contained_detections_are_suppressed():
     found = licenses.rules().detect("licensed under the gnu lesser general public license, version 3")
     assert [label for _, _, label, _ in found] == ["lgpl"]
