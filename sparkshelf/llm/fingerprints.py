@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from sparkshelf.llm.ragged import U64, cut, mix64, small_batches
 
-K, SKETCHES, TUPLE = 8, 24, 2
+K, SKETCHES, TUPLE = 8, 128, 2
 _SEEDS = mix64(np.arange(1, 256, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _STEP = U64(0x100000001B3)
-_BLOCK = 1 << 18  # numbers worked on at once
+_BLOCK = 1 << 15  # numbers worked on at once, few enough for a core's own cache
 
 
 def fingerprint(text: str, k: int = K, sketches: int = SKETCHES, take: int = TUPLE) -> np.ndarray:
@@ -36,8 +36,10 @@ def fingerprint(text: str, k: int = K, sketches: int = SKETCHES, take: int = TUP
         return np.zeros(0, np.uint32)
     width = min(k, len(chars))
     grams = np.zeros(len(chars) - width + 1, U64)
+    mixed = mix64(chars + U64(1))
     for i in range(width):
-        grams = grams * _STEP + mix64(chars[i : len(chars) - width + 1 + i] + U64(1))
+        grams *= _STEP
+        grams += mixed[i : len(chars) - width + 1 + i]
     order = np.argsort(grams, kind="stable")
     sorted_grams = grams[order]
     first = np.flatnonzero(np.append(True, sorted_grams[1:] != sorted_grams[:-1]))
@@ -47,9 +49,10 @@ def fingerprint(text: str, k: int = K, sketches: int = SKETCHES, take: int = TUP
     take = min(take, len(numbered))
     places = np.empty((sketches, take), np.int64)
     block = max(1, _BLOCK // len(numbered))
+    held = np.empty((min(block, sketches), len(numbered)), U64)
     for s in range(0, sketches, block):
-        ranks = numbered[None, :] * _SEEDS[s : min(s + block, sketches), None]
-        ranks ^= ranks >> U64(29)
+        seeds = _SEEDS[s : min(s + block, sketches), None]
+        ranks = np.multiply(numbered[None, :], seeds, out=held[: len(seeds)])  # the numbers are mixed, the product orders them by its upper bits
         rows = np.arange(len(ranks))
         for t in range(take):  # ties go to the earlier place
             at = ranks.argmin(axis=1)

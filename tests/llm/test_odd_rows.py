@@ -412,6 +412,25 @@ def test_fingerprints_see_order_and_edits():
     assert fingerprints.likeness(a, c) > 0.8 > 0.7 > fingerprints.likeness(a, b)
 
 
+def test_fingerprints_of_the_stated_size_see_half_a_text():
+    """With the defaults, no text whose last half is another's looks like an unrelated one."""
+    import random
+
+    random.seed(9)
+    texts = [" ".join(f"w{random.randrange(10**6)}" for _ in range(60)) for _ in range(201)]
+    likenesses = []
+    for a, b in zip(texts, texts[1:]):
+        likenesses.append(fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(fingerprints.edited(a, b))))
+        assert fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(b)) < 0.03
+    assert min(likenesses) > 0
+    # the exact share of equal places is about (1/3)**2; a standard deviation of a mean of 128 places is 0.028
+    assert abs(np.mean(likenesses) - 1 / 9) < 0.02 and np.std(likenesses) < 0.045
+    words = [f"word{i}" for i in range(200)]
+    text, shuffled = " ".join(words), " ".join(words[100:] + words[:100])
+    a, b, c = (fingerprints.fingerprint(t) for t in (text, shuffled, text.replace("word50", "wird50")))
+    assert fingerprints.likeness(a, c) > 0.8 > 0.7 > fingerprints.likeness(a, b)
+
+
 def test_token_counts(odd, odd_rows, tokenizer):
     got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(odd).collect())
     want = Counter()
