@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkshelf.llm import archive, mixing, near_copies, packing, quality, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SHINGLE_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies."""
-    return near_copies.without_near_copies(docs.select(*COLUMNS))
+    """Keeps the document with the least id of each group of near copies, by shingles of five words (operator 4 by itself takes two)."""
+    return near_copies.without_near_copies(docs.select(*COLUMNS), width=SHINGLE_WORDS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

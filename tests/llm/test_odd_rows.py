@@ -466,3 +466,14 @@ def test_pipeline(spark, odd, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == list(corpus_pipeline.COLUMNS), name
+
+
+def test_pipeline_takes_shingles_of_five_words(spark):
+    """One changed word in forty leaves 37 of 41 two-word shingles, but only 31 of 41 of five words."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words[:20], "other", *words[21:]]), " ".join([*words[:39], "other"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in near_copies.without_near_copies(docs).collect()] == [0]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 1]
