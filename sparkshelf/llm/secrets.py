@@ -32,12 +32,18 @@ except ImportError:  # before 3.11
     import sre_constants as sre
     import sre_parse as parser
 
+#: A private key runs to the END line of its BEGIN line; where that is missing, or another key begins before it, over the header lines and base64 that follow.
+_BEGIN = r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----"
+_TO_END = r"[^-]*(?:-(?!----(?:BEGIN|END) )[^-]*)*-----END \1-----"
+_BREAK = r"(?:\s|\\[nr])"  # also as written in a string literal
+_BODY = rf"[ \t\r]*(?:\n[A-Za-z-]+:[^\n]*)*(?:{_BREAK}+[A-Za-z0-9+/=]{{16,}})+(?:(?:\r?\n|\\n)=?[A-Za-z0-9+/]{{1,15}}={{0,2}}(?=\s*(?:\n|\Z)|[\"'\\])){{0,2}}"
+
 #: kind, regex, least length of (group, characters); the first three are the base kinds.
 RULES: tuple[tuple[str, str, tuple[int, int]], ...] = (
     ("assign", r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", (2, 12)),
     ("access", r"AKIA[A-Z0-9]+", (0, 18)),
     ("hex", r"[0-9a-f]+", (0, 16)),
-    ("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", (0, 1)),
+    ("private_key", rf"{_BEGIN}(?:{_TO_END}|{_BODY}|)", (0, 1)),
     ("github", r"(?:gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{40,})", (0, 1)),
     ("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}", (0, 1)),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (0, 1)),
@@ -45,7 +51,7 @@ RULES: tuple[tuple[str, str, tuple[int, int]], ...] = (
     ("stripe", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", (0, 1)),
     ("npm", r"npm_[A-Za-z0-9]{36}", (0, 1)),
     ("bearer", r"(?ai:authorization:\x20*bearer\x20+[A-Za-z0-9._~+/-]{16,}=*)", (0, 1)),
-    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@", (0, 1)),
+    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@", (0, 1)),
 )
 BASE = 3
 #: At most so many strings stand for a part of a regex before it is cut to its trigrams.

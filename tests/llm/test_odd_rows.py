@@ -188,6 +188,52 @@ def test_redaction(spark):
     assert "AKIAABCDEF" not in got[3].text and "[SECRET]" in got[3].text
 
 
+def _keys():
+    import base64
+    import random
+
+    random.seed(4)
+    body = base64.b64encode(random.randbytes(600)).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    made = {}
+    for name in ("RSA PRIVATE KEY", "PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"):
+        for end in ("\n", "\r\n", "\\n"):
+            made[f"{name}{end!r}"] = end.join([f"-----BEGIN {name}-----", *lines, f"-----END {name}-----"])
+    made["headers"] = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *lines, "-----END RSA PRIVATE KEY-----"])
+    made["pgp"] = "\n".join(["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: x 1 - 2", "", *lines, "=aB3d", "-----END PGP PRIVATE KEY BLOCK-----"])
+    made["quoted"] = "\n".join(["> -----BEGIN PRIVATE KEY-----", *(f"> {x}" for x in lines), "> -----END PRIVATE KEY-----"])[2:]
+    whole = dict(made)
+    for name, text in whole.items():
+        if name != "quoted":
+            made[f"{name}, no end"] = text[: text.rindex("-----END")].rstrip("\n\r")
+    return lines, made
+
+
+def test_whole_private_keys_and_long_url_logins_are_masked(spark):
+    lines, keys = _keys()
+    texts = {name: f"before\n{text}\nThen some prose, long-winded, follows the key." for name, text in keys.items()}
+    texts["two"] = f"before\n{keys['pgp, no end']}\n{keys['headers']}\nThen some prose, long-winded, follows the key."
+    texts["login"] = "before postgres://" + "u" * 90 + ":" + "Pw%21" * 60 + "@host/db Then some prose, long-winded, follows the key."
+    texts["line alone"] = "before\n-----BEGIN RSA PRIVATE KEY-----\nThen some prose, long-winded, follows the key."
+    rows = [(i, t, len(t)) for i, t in enumerate(texts.values())]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    for i, name in enumerate(texts):
+        assert got[i].startswith("before") and got[i].endswith("Then some prose, long-winded, follows the key."), name
+        assert "[SECRET]" in got[i] and "Pw%21" not in got[i] and not any(x in got[i] for x in lines), name
+        assert "PRIVATE KEY" not in got[i] and "aB3d" not in got[i], name
+
+
+def test_private_key_rule_is_linear():
+    import time
+
+    rule = re.compile(next(pattern for kind, pattern, _ in secrets.RULES if kind == "private_key"))
+    begin = "-----BEGIN RSA PRIVATE KEY-----"
+    start = time.process_time()
+    for tail in ("a: b \n" * 20000, "\nA: b c: d " * 20000, "-" * 200000, "\n" * 200000, (begin + " -x ") * 5000, "\n" + "A" * 200000, ("\n" + "A" * 15) * 10000):
+        list(rule.finditer(begin + tail))
+    assert time.process_time() - start < 5
+
+
 def test_packing_rows(odd, odd_rows, tokenizer):
     want = Counter()
     for r in odd_rows:
