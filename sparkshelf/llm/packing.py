@@ -10,7 +10,8 @@ The incumbent is best-fit decreasing on the census.  While it needs more
 sequences than the lower bound, the search enumerates, around the largest piece
 left, the undominated fillings of the rest, most filled first, and cuts branches
 whose waste cannot beat the incumbent.  ``EFFORT`` bounds the nodes visited; it
-bounds search time only, every piece is packed either way.
+bounds search time only, every piece is packed either way.  ``FILLINGS``, and
+``STEPS`` times as many steps, bound the fillings of a node in a first search only.
 
 Null texts are empty; an empty document is its closing id alone.  Repeated rows
 (and copies a mix made) are packed as often as they occur.  Empty tables give no
@@ -32,7 +33,7 @@ from sparkshelf.llm.ragged import Texts, cut, map_slices, small_batches
 from sparkshelf.llm.token_counts import vocabulary
 
 CAPACITY, END = 2048, 0
-EFFORT, FILLINGS = 3000, 48
+EFFORT, FILLINGS, STEPS = 3000, 48, 8
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -89,8 +90,8 @@ def lower_bound(census: dict[int, int], capacity: int) -> int:
     return bound
 
 
-def undominated(counts: dict[int, int], room: int, limit: int = FILLINGS) -> list[Filling]:
-    """Fillings of ``room`` that no exchange with a piece left out improves, fullest first."""
+def undominated(counts: dict[int, int], room: int, limit: int = FILLINGS) -> tuple[list[Filling], bool, int]:
+    """Fillings of ``room`` that no exchange with a piece left out improves, fullest first; whether ``limit`` may have left some out; and the steps."""
     lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     found: list[tuple[int, Filling]] = []
     steps = [0]
@@ -123,46 +124,68 @@ def undominated(counts: dict[int, int], room: int, limit: int = FILLINGS) -> lis
                 if go(x - 1, left - n * x, chosen | {x: n}):
                     return True
             at -= 1
-            if steps[0] > 8 * limit:
+            if steps[0] > STEPS * limit:
                 return True
         if not tried and not dominated(chosen, left):
             found.append((left, tuple(sorted(chosen.items(), reverse=True))))
         return len(found) >= limit or not left and not chosen
 
     go(room, room, {})
-    return [f for _, f in sorted(found, key=lambda x: x[0])]
+    return [f for _, f in sorted(found, key=lambda x: x[0])], len(found) >= limit or steps[0] > STEPS * limit, steps[0]
 
 
 def pack_census(census: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[tuple[int, Filling]]:
-    """Fillings with multiplicities that use up the census in as few sequences as the search finds."""
+    """Fillings with multiplicities that use up the census in as few sequences as the search finds.
+
+    A search takes at most ``limit`` fillings of a sequence, each as often as it
+    goes and once.  If that ends above the lower bound with effort left, it is
+    repeated with four times the limit and every multiplicity, until no limit was
+    met: then the result is the least number, and otherwise ``effort`` was used up
+    (a node, or the steps that a node takes in a first search, cost 1).
+    """
     census = {x: n for x, n in census.items() if n}
     best = best_fit_decreasing(census, capacity)
     best_n, bound = sum(m for m, _ in best), lower_bound(census, capacity)
     total = sum(x * n for x, n in census.items())
-    stack: list[tuple[dict[int, int], int, int, list]] = [(census, 0, 0, [])]
-    while stack and best_n > bound and effort:
-        effort -= 1
-        counts, used, waste, path = stack.pop()
-        if not counts:
-            if used < best_n:
-                best, best_n = path, used
-            continue
-        allowed = (best_n - 1) * capacity - total
-        if waste > allowed or used + lower_bound(counts, capacity) >= best_n:
-            continue
+    limit, whole = FILLINGS, False
+
+    def branches(counts: dict[int, int], used: int, waste: int, path: list, fillings: list[Filling], allowed: int, every: bool):
+        """One at a time, the fullest first, so that no list of censuses is held."""
         largest = max(counts)
-        rest = counts | {largest: counts[largest] - 1}
-        branches = []
-        for filling in undominated(rest, capacity - largest) or [()]:
+        for filling in fillings:
             need = dict(filling)
             need[largest] = need.get(largest, 0) + 1
             spare = capacity - sum(x * n for x, n in need.items())
             most = min(counts[x] // n for x, n in need.items())
-            for many in dict.fromkeys((most, 1)):
+            for many in range(most, 0, -1) if every else dict.fromkeys((most, 1)):
                 if waste + spare * many <= allowed:
                     left = {x: n - many * need.get(x, 0) for x, n in counts.items()}
-                    branches.append(({x: n for x, n in left.items() if n}, used + many, waste + spare * many, [*path, (many, tuple(sorted(need.items(), reverse=True)))]))
-        stack.extend(reversed(branches))  # the fullest is taken first
+                    yield {x: n for x, n in left.items() if n}, used + many, waste + spare * many, [*path, (many, tuple(sorted(need.items(), reverse=True)))]
+
+    while not whole and best_n > bound and effort > 0:
+        whole, every = limit > FILLINGS, limit > FILLINGS
+        stack = [iter([(census, 0, 0, [])])]
+        while stack and best_n > bound and effort > 0:
+            node = next(stack[-1], None)
+            if node is None:
+                stack.pop()
+                continue
+            effort -= 1
+            counts, used, waste, path = node
+            if not counts:
+                if used < best_n:
+                    best, best_n = path, used
+                continue
+            allowed = (best_n - 1) * capacity - total
+            if waste > allowed or used + lower_bound(counts, capacity) >= best_n:
+                continue
+            largest = max(counts)
+            fillings, cut_short, steps = undominated(counts | {largest: counts[largest] - 1}, capacity - largest, limit)
+            if every:
+                effort -= steps // (STEPS * FILLINGS)
+            whole = whole and not cut_short
+            stack.append(branches(counts, used, waste, path, fillings or [()], allowed, every))
+        limit *= 4
     return best
 
 

@@ -275,6 +275,22 @@ def test_packing_search():
     assert better
 
 
+def test_packing_search_goes_beyond_its_first_limit(monkeypatch):
+    """With one filling a node at first, the search still finds what it finds with 48."""
+    import random
+
+    random.seed(6)
+    cases = []
+    while len(cases) < 25:
+        census = dict(Counter(random.randint(8, 55) for _ in range(random.randint(10, 25))))
+        found = sum(m for m, _ in packing.pack_census(census, 100))
+        if found < sum(m for m, _ in packing.best_fit_decreasing(census, 100)):
+            cases.append((census, found))
+    monkeypatch.setattr(packing, "FILLINGS", 1)
+    monkeypatch.setattr(packing.undominated, "__defaults__", (1,))
+    assert [sum(m for m, _ in packing.pack_census(census, 100)) for census, _ in cases] == [n for _, n in cases]
+
+
 def test_mixing(odd, odd_rows):
     rows = mixing.mix(odd).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in odd_rows)
