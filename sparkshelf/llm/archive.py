@@ -84,10 +84,9 @@ def store(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
-    """address, digest, payload_bytes of the stored payloads; one whose bytes don't give its address raises."""
-    bodies = spark.read.parquet(f"{path}/payloads")
+    """address, payload of the stored payloads; one whose bytes don't give its address raises."""
     right = F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
-    return bodies.select(right.alias("address"), base32_sha1(F.col("payload")).alias("digest"), F.length("payload").cast("long").alias("payload_bytes"))
+    return spark.read.parquet(f"{path}/payloads").select(right.alias("address"), "payload")
 
 
 def field(name: str) -> Column:
@@ -95,8 +94,10 @@ def field(name: str) -> Column:
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, header, payload of every record, revisits with the payload that they refer to."""
-    return spark.read.parquet(f"{path}/records").join(spark.read.parquet(f"{path}/payloads"), "address").select("page_id", "header", "payload")
+    """page_id, header, payload of every record, revisits with the payload that they refer to; a record without its payload raises."""
+    whole = spark.read.parquet(f"{path}/records").join(verified(spark, path), "address", "left")
+    payload = F.coalesce(F.col("payload"), F.raise_error(F.concat(F.lit("no payload "), F.col("address"))).cast("binary"))
+    return whole.select("page_id", "header", payload.alias("payload"))
 
 
 def export_warc(spark: SparkSession, path: str, out: str, file_records: int = FILE_RECORDS) -> None:
@@ -141,10 +142,14 @@ def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id",
     spark = pages.sparkSession
     path = path or scratch(spark)
     store(pages, path, id_col, url_col, html_col, min_bytes)
-    heads = spark.read.parquet(f"{path}/records").select("address", field("X-Page").cast("long").alias("page_id"), field("WARC-Type").alias("record_type"), field("X-Refers-To-Page").cast("long").alias("refers_to"), field("WARC-Payload-Digest").alias("said"))
-    whole = heads.join(verified(spark, path), "address")
-    right = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("digest")), F.col("digest")).otherwise(F.raise_error(F.lit("a header's digest is not its payload's")))
-    return whole.select("page_id", "payload_bytes", right.alias("payload_digest"), "record_type", "refers_to")
+    said = records(spark, path).select(
+        field("X-Page").cast("long").alias("page_id"), field("WARC-Type").alias("record_type"), field("X-Refers-To-Page").cast("long").alias("refers_to"), field("WARC-Payload-Digest").alias("said"), field("Content-Length").cast("long").alias("length"),
+        base32_sha1(F.col("payload")).alias("digest"), F.length("payload").cast("long").alias("payload_bytes"),
+    )
+    # each reconstructed record is held against its own header
+    fits = (F.col("said") == F.concat(F.lit("sha1:"), F.col("digest"))) & (F.col("length") == F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0)))
+    right = F.when(fits, F.col("digest")).otherwise(F.raise_error(F.lit("a record's header does not fit its payload")))
+    return said.select("page_id", "payload_bytes", right.alias("payload_digest"), "record_type", "refers_to")
 
 
 #: The same for DuckDB, with min_bytes 0.

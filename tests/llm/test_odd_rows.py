@@ -443,6 +443,18 @@ def test_archive(spark, tmp_path):
     assert all(bytes(r.payload) == (b"" if "WARC-Type: revisit" in r.header else held[r.header]) for r in read)
 
 
+def test_archive_gives_reconstructed_records(spark, tmp_path, monkeypatch):
+    """The query's sizes and digests are those of the records joined again; a damaged one raises."""
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd")], "page_id long, url string, html string")
+    whole, seen = archive.records, []
+    monkeypatch.setattr(archive, "records", lambda spark, path: seen.append(path) or whole(spark, path))
+    assert archive.archive(df, str(tmp_path / "a")).count() == 3
+    assert seen == [str(tmp_path / "a")]
+    monkeypatch.setattr(archive, "records", lambda spark, path: whole(spark, path).selectExpr("page_id", "header", "CAST('zz' AS binary) payload"))
+    with pytest.raises(Exception, match="does not fit its payload"):
+        archive.archive(df, str(tmp_path / "b")).collect()
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     got = {r.page_id: r.record_type for r in archive.archive(df, str(tmp_path / "s"), min_bytes=3).collect()}
