@@ -7,8 +7,8 @@ threshold; components of links are the groups.
   registers ``floor(1 - log_b(min Exp(a)))``, cut to a byte.  Equal sets have
   equal keys and become one class, so exact copies never meet as pairs.
 * Classes that agree in all registers of a band share a bucket.  In each bucket
-  every class is paired with one pivot, chosen by a hash that differs by band, so
-  a class meets many pivots and a bucket gives as many pairs as it has classes.
+  every class is paired with one pivot, the least by a hash of its key, so that
+  the buckets of a group share pivots, and a class meets few of them.
 * Pairs are judged by the joint likelihood of their registers given both exact
   set sizes, and dropped only if the threshold lies ``DOUBT`` below the best
   similarity in log-likelihood (six standard deviations).
@@ -32,6 +32,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ WIDTH, THRESHOLD = 2, (80, 100)
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, DOUBT = 1.1, 20.0, 18.0
-SMALL_BUCKET, BLOCK, PAIRS, LARGE_CLUSTER, PARTITION_ROWS = 12, 256, 8192, 2048, 100_000
+SMALL_BUCKET, BLOCK, PAIRS, LARGE_CLUSTER, PARTITION_ROWS = 12, 256, 8192, 2048, 200_000
 _SEEDS = mix64(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _SPREAD = U64(0xD6E8FEB86659FD93)
 
@@ -307,36 +308,68 @@ def _within_clusters(members: DataFrame, texts: DataFrame, width: int, threshold
     return dealt.groupBy("cluster", "x", "y").applyInArrow(compare, "a binary, b binary")
 
 
+def _forest(edges: DataFrame) -> DataFrame:
+    """key, label: the least key that the edges (a, b) of its own partition reach from it."""
+
+    def work(batches):
+        seen = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not seen:
+            return
+        table = pa.concat_tables(seen).combine_chunks()
+        ends = pa.concat_arrays([table.column(c).chunk(0) for c in "ab"]).dictionary_encode()
+        order = pa.compute.array_sort_indices(ends.dictionary)
+        keys = ends.dictionary.take(order)
+        rank = np.empty(len(keys), np.int64)
+        rank[np.asarray(order)] = np.arange(len(keys))
+        a, b = rank[np.asarray(ends.indices)].reshape(2, -1)
+        root = np.arange(len(keys))
+        while True:  # every root takes the least root that an edge leads to, then all point to where that points
+            x, y = root[a], root[b]
+            if (x == y).all():
+                break
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            while (root != root[root]).any():
+                root = root[root]
+        yield pa.RecordBatch.from_arrays([keys, keys.take(pa.array(root))], ["key", "label"])
+
+    return edges.mapInArrow(work, "key binary, label binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """key, label (least key reachable) of every key in links (a, b).
 
-    Links are contracted: each round every key points to its least neighbour, then
-    to where that points, and links go on between what is pointed at, so that far
-    fewer are left.
+    Links are contracted: each partition's links become a forest, which is the
+    result where one partition holds them all.  Otherwise each key takes its least
+    label, then the label of that, and links go on between what is pointed at, so
+    that each round leaves far fewer.
     """
-    edges = _settled(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while True:
-        least = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near"))
-        point = _settled(least.select("key", F.least("key", "near").alias("label")))
-        far = point.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        point = _settled(point.join(far, "label").select("key", F.col("far").alias("label")))
+        edges, parts = _settled(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        forest = _forest(edges)
+        if parts == 1:
+            point = cut(forest)
+        else:
+            stars = cut(forest)
+            least = stars.groupBy("key").agg(F.min("label").alias("label"))
+            point = cut(least.join(least.select(F.col("key").alias("label"), F.col("label").alias("far")), "label").select("key", F.col("far").alias("label")))
+            links = stars.where("key != label")
+            for x, c in (("a", "key"), ("b", "label")):
+                links = links.join(point.select(F.col("key").alias(c), F.col("label").alias(x)), c).drop(c)
         if labels is None:
             labels = point
         else:
             onward = point.select(F.col("key").alias("label"), F.col("label").alias("next"))
-            labels = _settled(labels.join(onward, "label", "left").select("key", F.coalesce("next", "label").alias("label")))
-        for x in "ab":
-            edges = edges.join(point.select(F.col("key").alias(x), F.col("label").alias("l")), x).drop(x).withColumnRenamed("l", x)
-        edges = _settled(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if not edges.head(1):
+            labels = cut(labels.join(onward, "label", "left").select("key", F.coalesce("next", "label").alias("label")))
+        if parts == 1:
             return labels
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Checkpointed, in as few partitions as its counted rows need."""
+def _settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpointed, in as few partitions as its counted rows need; how many those are."""
     df = cut(df)
-    return df.coalesce(max(1, -(-df.count() // PARTITION_ROWS)))
+    parts = max(1, -(-df.count() // PARTITION_ROWS))
+    return df.coalesce(parts), parts
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -346,7 +379,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(signatures(docs, id_col, text_col, width))
     classes = cut(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs")))
     buckets = _buckets(classes)
-    pivots = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "band"), F.col("key").alias("key")))["key"].alias("pivot")).where("n > 1").drop("n")
+    pivots = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key"), F.col("key").alias("key")))["key"].alias("pivot")).where("n > 1").drop("n")
     met = buckets.join(pivots, "band").where("key != pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
     judged = cut(_judged(met, classes, least))
     # classes that share a bucket with another: the only texts that will be needed
