@@ -88,10 +88,7 @@ def short_hash(text: Column) -> Column:
 
 
 def version_at_least(version: Column, *parts: int) -> Column:
-    """Compares dotted numbers part by part; what is no number counts as 0."""
-    numbers = F.transform(F.split(F.coalesce(version, F.lit("0")), "\\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
-    padded = F.slice(F.concat(numbers, F.array(*[F.lit(0)] * len(parts))), 1, len(parts))
-    out = F.lit(True)
-    for i in reversed(range(len(parts))):
-        out = (padded[i] > parts[i]) | ((padded[i] == parts[i]) & out)
-    return out
+    """Compares dotted numbers part by part, the shorter the lower; a version with a part that is no number counts as 0."""
+    numbers = F.transform(F.split(F.coalesce(version, F.lit("0")), "\\."), lambda x: x.try_cast("int"))
+    whole = F.when(F.exists(numbers, lambda x: x.isNull()), F.array(F.lit(0))).otherwise(numbers)
+    return whole >= F.array(*[F.lit(p) for p in parts])

@@ -4,10 +4,10 @@ import json
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkshelf.operators import evalset, eventlog, index, metrics, quantise, ranking, sparse_blocks
-from sparkshelf.plans import logs
 from sparkshelf.sources import statutes
 
 
@@ -152,9 +152,54 @@ def test_evaluation_set(spark):
     assert {r.outcome: r.n for r in evalset.reference_counts(chunks).collect()} == {"self": 1, "missing": 1, "fell_back": 1}
 
 
+def _event(ts: str, event: str, data: dict, loop: str = "loop_001", project: str = "shelf", v: str = "1.2") -> str:
+    return json.dumps({"v": v, "ts": f"2026-01-01T{ts}+09:00", "project": project, "loop_id": loop, "event": event, "data": data})
+
+
+_FAILURE = {"code": "F01", "severity": "S2", "detected_stage": 2, "summary": "x", "resolution": "retry"}
+_START = {"goal": "g", "spec_refs": ["a"], "scaffold_version": "1", "agent": "n"}
+LOGS = {
+    "loop_001.jsonl": [
+        _event("09:00:00", "loop_start", _START),
+        _event("09:01:00", "test_run", {"command": "t", "passed": 3, "failed": 1}),
+        "",
+        _event("09:02:00", "failure", _FAILURE),
+        _event("09:03:00", "failure", _FAILURE | {"code": "F02", "resolution": "harness_fix"}),
+        _event("09:04:00", "correction", {"supersedes": 5, "reason": "wrong"}),
+        _event("09:05:00", "failure", _FAILURE | {"code": "F02", "resolution": "harness_fix", "harness_ref": "H1"}),
+        _event("09:06:00", "commit", {"sha": "72817e6", "kind": "feat"}),
+        _event("09:07:00", "test_run", {"command": "t", "passed": 4, "failed": 0}),
+        _event("09:08:00", "loop_end", {"outcome": "success", "failure_count": 2, "summary": "s"}),
+    ],
+    "loop_002.jsonl": [
+        _event("10:00:00", "stage_end", {"stage": "one", "stage_name": "n", "result": "maybe"}, "loop_002"),
+        _event("09:59:00", "failure", _FAILURE | {"code": "F99", "severity": "S9"}, "loop_002", "loop_002"),
+        "{broken",
+        _event("10:01:00", "correction", {"supersedes": 9, "reason": "r"}, "loop_002"),
+        _event("10:02:00", "correction", {"supersedes": 4, "reason": "r"}, "loop_002"),
+        _event("10:03:00", "guess", {}, "loop_002"),
+        json.dumps({"v": "1.2", "ts": "2026-01-01T10:04:00+09:00"}),
+        _event("10:05:00", "failure", _FAILURE, "loop_003"),
+        _event("10:06:00", "loop_end", {"outcome": "partial", "failure_count": 7, "summary": "s"}, "loop_002"),
+        _event("10:07:00", "commit", {"sha": "a"}, "loop_002"),
+    ],
+}
+TAXONOMY = [("code", c) for c in ("F01", "F02", "F03")] + [("severity", c) for c in ("S1", "S2", "S3")] + [("resolution", c) for c in ("retry", "harness_fix")]
+LINES = [(f, i + 1, t) for f, lines in LOGS.items() for i, t in enumerate(lines) if t.strip()]
+
+
+
+def _log(spark, lines):
+    return eventlog.parse(spark.createDataFrame(lines, "file string, line long, text string"))
+
+
+def _tax(spark):
+    return spark.createDataFrame(TAXONOMY, "kind string, code string")
+
+
 def test_log_rules(spark):
-    parsed = logs._parsed(spark)
-    found = {(r.file, r.line, r.rule, r.field) for r in eventlog.record_violations(parsed, logs._taxonomy(spark)).collect()}
+    parsed = _log(spark, LINES)
+    found = {(r.file, r.line, r.rule, r.field) for r in eventlog.record_violations(parsed, _tax(spark)).collect()}
     two = "loop_002.jsonl"
     assert found == {
         ("loop_001.jsonl", 5, "harness_ref", "harness_ref"), (two, 1, "field_type", "stage"), (two, 1, "field_value", "result"), (two, 2, "code_unknown", "code"), (two, 2, "severity_unknown", "severity"), (two, 3, "json", ""),
@@ -165,7 +210,67 @@ def test_log_rules(spark):
 
 
 def test_log_files(spark, tmp_path):
-    for name, lines in logs.LOGS.items():
+    for name, lines in LOGS.items():
         (tmp_path / name).write_text("\n".join(lines) + "\n")
     got = sorted((r.file, r.line, r.text) for r in eventlog.read_lines(spark, str(tmp_path)).collect())
-    assert got == sorted(logs.LINES)
+    assert got == sorted(LINES)
+
+
+def test_log_fields_are_of_the_top_level(spark):
+    """What stands deeper, or in a string, is neither there nor of a kind."""
+    nested = {"x": {"passed": 3, "command": "c", "failed": 1}}
+    made = [nested | {"command": "passed", "failed": 1}, nested | {"command": 5, "passed": "3", "failed": 1.0}, {"command": "c", "passed": True, "failed": 12345678901234567890123}, {"command": None, "passed": 1, "failed": 1e3}]
+    lines = [("a.jsonl", i + 1, _event("09:00:00", "test_run", d, "a")) for i, d in enumerate(made)]
+    lines += [("a.jsonl", 5, _event("09:00:00", "test_run", 5, "a")), ("a.jsonl", 6, json.dumps({"v": "1", "ts": None, "project": None, "loop_id": "", "event": None, "data": {}})), ("a.jsonl", 7, "[1]")]
+    lines += [("a.jsonl", 8, _event("09:00:00", "failure", _FAILURE | {"resolution": "harness_fix", "harness_ref": 0}, "a")), ("a.jsonl", 9, _event("09:00:00", "failure", _FAILURE | {"resolution": "wontfix", "code": None}, "a"))]
+    got = {(r.line, r.rule, r.field) for r in eventlog.record_violations(_log(spark, lines), _tax(spark)).collect()}
+    assert got == {
+        (1, "field_missing", "passed"), (2, "field_type", "command"), (2, "field_type", "passed"), (2, "field_type", "failed"), (4, "field_type", "command"), (4, "field_type", "failed"), (5, "data_not_object", "data"),
+        (6, "unknown_event", "event"), (7, "json", ""), (8, "harness_ref", "harness_ref"), (9, "field_type", "code"), (9, "resolution_unknown", "resolution"),
+    }
+
+
+def test_empty_logs_and_line_ends(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"")
+    (tmp_path / "b.jsonl").write_bytes(b"\r\n \t\r\n")
+    (tmp_path / "c.jsonl").write_bytes(b"{x\r\n\r\n" + _event("09:00:00", "loop_start", _START, "c").encode() + b"\r\n")
+    lines = eventlog.read_lines(spark, str(tmp_path))
+    assert sorted((r.file, r.line) for r in lines.collect()) == [("c.jsonl", 1), ("c.jsonl", 3)]
+    found = eventlog.file_violations(eventlog.parse(lines), eventlog.log_files(spark, str(tmp_path))).collect()
+    assert sorted((r.file, r.rule) for r in found) == [("a.jsonl", "no_records"), ("b.jsonl", "no_records")]
+
+
+def test_appending_is_guarded(spark, tmp_path):
+    tax, folder = _tax(spark), str(tmp_path / "logs")
+    add = lambda event, data, project="shelf", loop="l1": eventlog.append(spark, folder, loop, _event("09:00:00", event, data, loop, project), tax)
+    assert add("loop_start", _START) == (None, None)
+    assert add("commit", {"sha": "1"}) == ("field_missing", None)
+    assert add("failure", _FAILURE) == (None, None)
+    assert add("failure", _FAILURE, "other") == ("other_project", None)
+    assert add("failure", _FAILURE) == (None, "second_strike")
+    assert add("failure", _FAILURE, loop="l2") == (None, "strike_without_fix")
+    assert add("failure", _FAILURE | {"code": "F02", "severity": "S1"}) == (None, "severe_without_fix")
+    assert add("correction", {"supersedes": 9, "reason": "r"}) == ("nothing_to_correct", None)
+    assert add("loop_end", {"outcome": "success", "failure_count": 3, "summary": "s"}) == (None, None)
+    assert add("failure", _FAILURE) == ("loop_ended", None)
+    assert add("correction", {"supersedes": 2, "reason": "r"}) == (None, None)
+    assert add("failure", _FAILURE | {"harness_ref": "H1"}) == (None, None)
+    assert add("failure", _FAILURE) == ("loop_ended", None)
+    parsed = eventlog.parse(eventlog.read_lines(spark, folder))
+    assert eventlog.record_violations(parsed, tax).count() == 0
+    assert {(r.file, r.rule) for r in eventlog.file_violations(parsed).collect()} == {("l2.jsonl", "first_event")}
+    assert {k: v.count() for k, v in eventlog.export(parsed, tax.selectExpr("*", "'' category", "'' category_name", "'' name", "'' definition")).items()} == {"fact_events": 8, "fact_loops": 2, "fact_failures": 4, "dim_failure_taxonomy": 3, "view_two_strike": 2}
+
+
+def test_arguments_become_data():
+    assert eventlog.data_of(["sha=72817e6", "kind=feat"], "commit") == {"sha": "72817e6", "kind": "feat"}
+    assert eventlog.data_of(["passed=3", "command=5", "note=a=b", "list=[1]"], "test_run") == {"passed": 3, "command": "5", "note": "a=b", "list": [1]}
+    with pytest.raises(ValueError, match="key=value"):
+        eventlog.data_of(["x"], "commit")
+    assert eventlog.now().endswith("+09:00")
+
+
+def test_taxonomy_file(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"categories": {"C": "all c"}, "codes": {"C-1": {"category": "C", "name": "n", "definition": "d"}}, "resolutions": ["retry"], "severities": {"S1": "bad"}}))
+    got = {(r.kind, r.code, r.category_name, r.definition) for r in eventlog.read_taxonomy(spark, str(tmp_path / "t.json")).collect()}
+    assert got == {("code", "C-1", "all c", "d"), ("severity", "S1", None, "bad"), ("resolution", "retry", None, None)}
