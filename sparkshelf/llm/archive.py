@@ -1,33 +1,42 @@
 """Content-addressed WARC archive (operator 8).
 
-``store`` writes two tables: ``payloads`` holds each payload's bytes once under
-its SHA-256 address, ``records`` holds the exact WARC header of every record with
-the address of its payload.  Of the records with equal payloads that with the
-largest id is the response; the others are revisits that refer to it.  Payloads
-under ``min_bytes`` are all responses.  ``records`` joins headers to payloads and
-gives the original records back; ``verified`` recomputes every stored payload's
-digest.  ``export_warc`` writes ordinary WARC files, ``read_warc`` parses any.
-
-A null html is an empty payload, a null url leaves its header line out.  Null ids
-are revisits of a record with an id, or responses where none has one.  Repeated
-rows are records of their own; those equal to the elected response in id and
-payload are responses too, and the payload is still stored once.
+``store`` writes two things: ``headers``, a table with the exact WARC header of
+every record and the SHA-256 address of its payload, and ``warc``, gzipped WARC
+files with a record per header, in which each payload's bytes stand once, in its
+response.  Of the records with equal payloads that with the largest id is the
+response; the others are revisits that refer to it.  Payloads under ``min_bytes``
+are all responses.  ``read_warc`` parses any WARC files; ``stored`` recomputes the
+SHA-256 of every response read; ``records`` gives the original records back:
+responses as they stand in the files, revisits by a join of their headers with the
+payload at their address.  Only payloads that a response's header says are
+revisited take part in that join, and adaptive execution splits it where one
+address has most of the records.
+
+Payloads move once, to meet their copies; what else is shuffled are headers and
+digests.  A null html is an empty payload, a null url leaves its header line out.
+Null ids are revisits of a record with an id, or responses where none has one.
+Repeated rows share one WARC record and are given back as often as they occur;
+rows of the elected id with other urls are responses too, and then hold the bytes again.
+An empty table gives an archive without records and no rows.  Of a table with more
+columns, id, url and html are taken, whatever the others are called.  A payload is
+worked on in memory as a whole, and so is a file of at most ``FILE_RECORDS`` records.
 """
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkshelf.llm.ragged import checkpoint_dir
+from sparkshelf.llm.ragged import checkpoint_dir, small_batches
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648
 END, VERSION = "\r\n", "WARC/1.1"
 MIN_BYTES, DATE = 0, "1970-01-01T00:00:00Z"
-FILE_RECORDS = 2000
+FILE_RECORDS = 1000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -51,10 +60,12 @@ def addressed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
 
 def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, date: str = DATE) -> DataFrame:
-    """page_id, address, stored (whether the payload is this record's to store) and the exact header."""
+    """page_id, address, stored (whether the record is a response), header and n (how many rows the record stands for)."""
     named = addressed(pages, id_col, url_col, html_col).select("page_id", "url", "address", base32_sha1(F.col("payload")).alias("digest"), F.length("payload").cast("long").alias("size"))
-    elected = named.where(F.col("size") >= min_bytes).groupBy("address").agg(F.max("page_id").alias("first"))
-    both = named.join(elected, "address", "left")
+    named = named.groupBy("address", "page_id", "url", "digest", "size").agg(F.count(F.lit(1)).alias("n"))
+    elected = named.groupBy("address").agg(F.max(F.struct("page_id", "url")).alias("top"), F.sum("n").alias("copies"))
+    both = named.join(elected, "address").withColumn("first", F.col("top.page_id"))
+    holder = F.col("page_id").eqNullSafe(F.col("first")) & F.col("url").eqNullSafe(F.col("top.url"))
     response = (F.col("size") < min_bytes) | F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
     url = F.regexp_replace(F.col("url"), r"[\x00-\x20]", "%20")
@@ -65,56 +76,35 @@ def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         line("WARC-Date", F.lit(date)),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(response, "").otherwise(F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first"))), line("X-Refers-To-Page", F.col("first").cast("string")))),
+        F.when(response, line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.col("address")))).otherwise(F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("first"))), line("X-Refers-To-Page", F.col("first").cast("string")))),
+        F.when(holder & (F.col("copies") > 1), line("X-Records-Of-Payload", F.col("copies").cast("string"))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         F.coalesce(line("X-Page", F.col("page_id").cast("string")), F.lit("")),
         line("Content-Length", F.when(response, F.col("size").cast("string")).otherwise("0")),
     )
-    return both.select("page_id", "address", response.alias("stored"), header.alias("header"))
+    return both.select("page_id", "address", response.alias("stored"), header.alias("header"), "n")
 
 
-def store(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> None:
-    """Writes ``path``/records and ``path``/payloads; only the responses' payloads are kept, each once."""
+def store(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES, file_records: int = FILE_RECORDS) -> None:
+    """Writes ``path``/headers and ``path``/warc."""
     spark = pages.sparkSession
-    headers(pages, id_col, url_col, html_col, min_bytes).write.parquet(f"{path}/records")
-    wanted = spark.read.parquet(f"{path}/records").where("stored").groupBy("address").agg(F.max("page_id").alias("page_id")).withColumn("page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    bodies = addressed(pages, id_col, url_col, html_col).select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page_id"), "address", "payload")
-    once = bodies.join(wanted, ["address", "page_id"], "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("address", "page_id").orderBy(F.lit(0)))).where("n = 1")
-    once.select("address", "payload").write.parquet(f"{path}/payloads")
-
-
-def verified(spark: SparkSession, path: str) -> DataFrame:
-    """address, payload of the stored payloads; one whose bytes don't give its address raises."""
-    right = F.when(F.sha2("payload", 256) == F.col("address"), F.col("address")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
-    return spark.read.parquet(f"{path}/payloads").select(right.alias("address"), "payload")
-
-
-def field(name: str) -> Column:
-    return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
-
-
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, header, payload of every record, revisits with the payload that they refer to; a record without its payload raises."""
-    whole = spark.read.parquet(f"{path}/records").join(verified(spark, path), "address", "left")
-    payload = F.coalesce(F.col("payload"), F.raise_error(F.concat(F.lit("no payload "), F.col("address"))).cast("binary"))
-    return whole.select("page_id", "header", payload.alias("payload"))
-
-
-def export_warc(spark: SparkSession, path: str, out: str, file_records: int = FILE_RECORDS) -> None:
-    """Ordinary WARC files: responses with their payloads, revisits without."""
-    held = records(spark, path)
-    revisit = F.col("header").contains(f"WARC-Type: revisit{END}")
-    body = F.when(revisit, "").otherwise(F.col("payload").cast("string"))
-    held.select(F.concat("header", F.lit(END), body).alias("value")).write.option("lineSep", END * 2).option("maxRecordsPerFile", file_records).text(out)
+    headers(pages, id_col, url_col, html_col, min_bytes).write.parquet(f"{path}/headers")
+    held = spark.read.parquet(f"{path}/headers")
+    once = addressed(pages, id_col, url_col, html_col).groupBy("address").agg(F.first("payload").alias("payload"))
+    responses = once.join(held.where("stored").select("address", "header"), "address").select("header", F.col("payload").cast("string").alias("body"))
+    both = responses.unionByName(held.where("NOT stored").select("header", F.lit("").alias("body")))
+    both.select(F.concat("header", F.lit(END), "body").alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(f"{path}/warc")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """header, payload of all records in the WARC files under ``path``, by their Content-Length."""
+    """header, payload of all records in the WARC files, plain or gzipped, under ``path``, by their Content-Length."""
+    small_batches(spark)
 
     def work(batches):
         for b in batches:
             for blob in b.column("content"):
                 raw, at, heads, bodies = blob.as_py(), 0, [], []
+                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
                 while at < len(raw):
                     cut = raw.index(b"\r\n\r\n", at)
                     head = raw[at : cut + 2].decode()
@@ -127,6 +117,29 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(work, "header string, payload binary")
 
 
+def field(name: str) -> Column:
+    return F.nullif(F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """header, payload, address, copies of the responses in the files; one whose bytes don't give its address raises."""
+    said = F.regexp_replace(field("WARC-Block-Digest"), "^sha256:", "")
+    right = F.when(F.sha2("payload", 256) == said, said).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.coalesce(said, F.lit("without address")))))
+    found = read_warc(spark, f"{path}/warc").where(field("WARC-Type") == "response")
+    return found.select("header", "payload", right.alias("address"), F.coalesce(field("X-Records-Of-Payload").cast("long"), F.lit(1)).alias("copies"))
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, header, payload of every record, revisits with the payload that they refer to; a record without its payload raises."""
+    found = stored(spark, path)
+    # all but the responses themselves: revisits, and repeated rows
+    more = F.col("n") - F.col("stored").cast("long")
+    rest = spark.read.parquet(f"{path}/headers").where(more > 0).select("page_id", "address", "header", F.explode(F.sequence(F.lit(1).cast("long"), more))).drop("col")
+    rest = rest.join(found.where("copies > 1").select("address", "payload"), "address", "left")
+    payload = F.coalesce(F.col("payload"), F.raise_error(F.concat(F.lit("no payload "), F.col("address"))).cast("binary"))
+    return found.select(field("X-Page").cast("long").alias("page_id"), "header", "payload").unionByName(rest.select("page_id", "header", payload.alias("payload")))
+
+
 def scratch(spark: SparkSession, kind: str = "warc") -> str:
     """A new folder in the shared checkpoint folder, removed when Spark ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
