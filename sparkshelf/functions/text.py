@@ -33,12 +33,14 @@ def bigrams(text: Column | str) -> Column:
 
 
 def token_length(text: Column | str) -> Column:
-    """Number of bigrams, without making them."""
-    return F.aggregate(segments(text), F.lit(0).cast("long"), lambda n, s: n + F.greatest(F.length(s) - 1, F.lit(1)))
+    """Number of bigrams, without making them: every character but a segment's last begins one, and a segment of one character is one."""
+    inside = f"[^{SEPARATORS[1:-2]}]"
+    count = lambda regex: F.regexp_count(text, F.lit(regex)).cast("long")
+    return substantive_length(text) - count(f"{inside}+") + count(f"(?<!{inside}){inside}(?!{inside})")
 
 
 def substantive_length(text: Column | str) -> Column:
-    return F.aggregate(segments(text), F.lit(0).cast("long"), lambda n, s: n + F.length(s))
+    return F.length(F.regexp_replace(text, SEPARATORS, "")).cast("long")
 
 
 def sentences(text: Column | str) -> Column:

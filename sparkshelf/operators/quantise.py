@@ -11,12 +11,41 @@ def round_half_away(x: Column) -> Column:
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """One row (mu, s): the mean of each dimension and its largest distance from it (1 where that is 0)."""
-    long = rows.select(F.posexplode("v").alias("d", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = long.groupBy("d").agg(F.round(F.avg("x"), 12).alias("mu"))
-    far = long.join(F.broadcast(mean), "d").groupBy("d").agg(F.first("mu").alias("mu"), F.max(F.abs(F.col("x") - F.col("mu"))).alias("s"))
+    """One row (mu, s): the mean of each dimension and its largest distance from it (1 where that is 0).
+
+    Each task adds up its vectors and sends a row per dimension.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def matrices(batches):
+        for b in batches:
+            v = b.column("v")
+            v = v.filter(v.is_valid())
+            if len(v):
+                yield np.asarray(v.flatten(), np.float64).reshape(len(v), -1)
+
+    def sums(batches):
+        total, n = 0.0, 0
+        for m in matrices(batches):
+            total, n = total + m.sum(0), n + len(m)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), n))], ["d", "x", "n"])
+
+    found = rows.select("v").mapInArrow(sums, "d long, x double, n long").groupBy("d").agg((F.sum("x") / F.sum("n")).alias("mu"))
+    means = np.array([r["mu"] for r in found.select("d", F.round("mu", 12).alias("mu")).orderBy("d").collect()])  # a row per dimension
+
+    def far(batches):
+        most = None
+        for m in matrices(batches):
+            here = np.abs(m - means).max(0)
+            most = here if most is None else np.maximum(most, here)
+        if most is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(most))), pa.array(means), pa.array(most)], ["d", "mu", "s"])
+
+    widest = rows.select("v").mapInArrow(far, "d long, mu double, s double").groupBy("d").agg(F.first("mu").alias("mu"), F.max("s").alias("s"))
     ordered = F.array_sort(F.collect_list(F.struct("d", "mu", F.when(F.col("s") == 0, 1.0).otherwise(F.col("s")).alias("s"))))
-    return far.agg(ordered.alias("q")).select(F.col("q.mu").alias("mu"), F.col("q.s").alias("s"))  # a row per dimension
+    return widest.agg(ordered.alias("q")).select(F.col("q.mu").alias("mu"), F.col("q.s").alias("s"))
 
 
 def codes(v: Column, mu: Column, s: Column) -> Column:

@@ -2,10 +2,14 @@
 
 Two passes over the texts.  The first adds up the collection's size, its length
 and the frequencies of the queries' terms (partial sums per task).  The second
-turns a slice of documents into a matrix of term weights, multiplies it with the
-queries' term incidence, and keeps the best k documents of the slice for every
-query; only these are shuffled.  Queries beyond ``QUERIES`` are worked off in
-groups of that many, so a task's memory is bounded.
+turns a slice of documents into a matrix of term weights, ``TERMS`` columns at a
+time, multiplies it with the queries' term incidence, and keeps the best k documents
+of the slice for every query; only these are shuffled.  Several weights are taken in
+one pass.  Queries beyond ``QUERIES`` are worked off in groups of that many, and the
+incidence is held as lists (terms by query), so a task's memory is bounded.
+
+Excluded pairs stay distributed: a slice keeps k and as many more as the item has
+exclusions, and these go by a join before the final cut.
 
 Null texts are documents without terms: they count in the collection and are
 never found.
@@ -14,6 +18,7 @@ never found.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from pyspark.sql import functions as F
 from sparkshelf.functions.text import SEPARATORS
 from sparkshelf.operators.ranking import B, K1, POOL, top_k
 
-QUERIES, SLICE = 2048, 1 << 19
+QUERIES, SLICE, TERMS = 2048, 1 << 19, 4096
 
 
 @lru_cache(1)
@@ -94,30 +99,53 @@ def rank(docs: DataFrame, queries: DataFrame, k: int = POOL, weight: str = "bm25
 
     ``weight``: bm25, or overlap (shared distinct bigrams over the root of the length).
     """
-    asked = [(r["item"], r["text"]) for r in queries.orderBy("item").toLocalIterator()]
-    parts = [_ranked(docs, asked[i : i + QUERIES], k, weight, exclude, k1, b) for i in range(0, max(1, len(asked)), QUERIES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rank_by(docs, queries, k, (weight,), exclude, k1, b).drop("method")
+
 
+def rank_by(docs: DataFrame, queries: DataFrame, k: int = POOL, weights: tuple[str, ...] = ("bm25", "overlap"), exclude: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """method, item, id, score, rank for every weight, in one pass over the texts."""
+    asked = iter(queries.select("item", "text").orderBy("item").toLocalIterator())
+    out = None
+    while group := [(r["item"], r["text"]) for r in islice(asked, QUERIES)]:
+        part = _ranked(docs, group, k, weights, exclude, k1, b)
+        out = part if out is None else out.unionByName(part)
+    return _ranked(docs, [], k, weights, exclude, k1, b) if out is None else out
 
-def _ranked(docs, asked, k, weight, exclude, k1, b) -> DataFrame:
+
+def _ranked(docs, asked, k, weights, exclude, k1, b) -> DataFrame:
+    spark = docs.sparkSession
     items = np.array([i for i, _ in asked], np.int64)
     q_row, q_code, _, _ = counted([t for _, t in asked]) if asked else (np.zeros(0, np.int64),) * 4
     codes = np.unique(q_code)
-    has = np.zeros((len(codes), len(asked)))
-    has[np.searchsorted(codes, q_code), q_row] = 1.0
+    order = np.argsort(q_code, kind="stable")
+    term, who = np.searchsorted(codes, q_code[order]), q_row[order]
     found = Collection(docs, codes)
     idf = np.log1p((found.n - found.df + 0.5) / (found.df + 0.5))
-    barred: dict[int, set[int]] = {}
-    if exclude is not None:  # only pairs of the stated queries
-        for r in exclude.select("item", "id").toLocalIterator():
-            barred.setdefault(r["item"], set()).add(r["id"])
-    held = docs.sparkSession.sparkContext.broadcast((codes, has, idf, found.avgdl, items, barred))
+    more = np.zeros(len(items), np.int64)
+    if exclude is not None:
+        mine = spark.createDataFrame([(i,) for i in items.tolist()], "item long")
+        exclude = exclude.select("item", "id").join(F.broadcast(mine), "item", "left_semi").distinct()  # at most QUERIES items
+        counts = {r["item"]: r["count"] for r in exclude.groupBy("item").count().collect()}
+        more = np.array([counts.get(i, 0) for i in items.tolist()], np.int64)
+    held = spark.sparkContext.broadcast((codes, term, who, idf, found.avgdl, items, more))
 
     def work(batches):
-        codes, has, idf, avgdl, items, barred = held.value
+        codes, term, who, idf, avgdl, items, more = held.value
+        blocks = []
+        for low in range(0, len(codes), TERMS):
+            a, z = np.searchsorted(term, [low, low + TERMS])
+            blocks.append((low, term[a:z] - low, who[a:z]))
+        dense = {}
+
+        def incidence(low, rows, columns):
+            has = dense.get(low)
+            if has is None:
+                has = np.zeros((min(TERMS, len(codes) - low), len(items)))
+                has[rows, columns] = 1.0
+                if not dense:  # one block is kept, more are made again for each slice
+                    dense[low] = has
+            return has
+
         for batch in batches:
             ids = np.asarray(batch.column("id"))
             for first, texts in _slices(batch):
@@ -125,27 +153,34 @@ def _ranked(docs, asked, k, weight, exclude, k1, b) -> DataFrame:
                 at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
                 known = codes[at] == code if len(codes) else np.zeros(len(code), bool)
                 row, at, tf = row[known], at[known], tf[known]
-                if weight == "bm25":
-                    value = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / avgdl)) if len(at) else tf
-                else:
-                    value = 1 / np.sqrt(lengths[row])
                 mine = ids[first : first + len(texts)]
-                matrix = np.zeros((len(texts), len(codes)))
-                matrix[row, at] = value
-                scores = np.round(matrix @ has, 9)
-                out_i, out_d, out_s = [], [], []
-                for j, item in enumerate(items.tolist()):
-                    s = scores[:, j]
-                    keep = np.flatnonzero(s > 0)
-                    if item in barred and len(keep):
-                        keep = keep[~np.isin(mine[keep], list(barred[item]))]
-                    if len(keep) > k:
-                        edge = np.partition(s[keep], len(keep) - k)[len(keep) - k]
-                        keep = keep[s[keep] >= edge]
-                    keep = keep[np.lexsort((mine[keep], -s[keep]))[:k]]
-                    out_i += [item] * len(keep)
-                    out_d += mine[keep].tolist()
-                    out_s += s[keep].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_i, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out_s, pa.float64())], ["item", "id", "score"])
-
-    return top_k(docs.select("id", "text").where("id IS NOT NULL").mapInArrow(work, "item long, id long, score double"), k)
+                out_m, out_i, out_d, out_s = [], [], [], []
+                for method in weights:
+                    if method == "bm25":
+                        value = idf[at] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[row] / avgdl)) if len(at) else tf
+                    else:
+                        value = 1 / np.sqrt(lengths[row])
+                    scores = np.zeros((len(texts), len(items)))
+                    for low, rows, columns in blocks:
+                        inside = (at >= low) & (at < low + TERMS)
+                        matrix = np.zeros((len(texts), min(TERMS, len(codes) - low)))
+                        matrix[row[inside], at[inside] - low] = value[inside]
+                        scores += matrix @ incidence(low, rows, columns)
+                    scores = np.round(scores, 9)
+                    for j, item in enumerate(items.tolist()):
+                        s = scores[:, j]
+                        keep, top = np.flatnonzero(s > 0), k + int(more[j])
+                        if len(keep) > top:
+                            edge = np.partition(s[keep], len(keep) - top)[len(keep) - top]
+                            keep = keep[s[keep] >= edge]
+                        keep = keep[np.lexsort((mine[keep], -s[keep]))[:top]]
+                        out_m += [method] * len(keep)
+                        out_i += [item] * len(keep)
+                        out_d += mine[keep].tolist()
+                        out_s += s[keep].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(out_m, pa.string()), pa.array(out_i, pa.int64()), pa.array(out_d, pa.int64()), pa.array(out_s, pa.float64())], ["method", "item", "id", "score"])
+
+    best = docs.select("id", "text").where("id IS NOT NULL").mapInArrow(work, "method string, item long, id long, score double")
+    if exclude is not None:
+        best = best.join(exclude, ["item", "id"], "left_anti").select("method", "item", "id", "score")
+    return top_k(best, k, ("method", "item"))

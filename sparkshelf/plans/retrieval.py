@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkshelf.functions import text as T
-from sparkshelf.operators import metrics, quantise, ranking, sparse_blocks
+from sparkshelf.operators import evalpack, metrics, quantise, ranking, sparse_blocks
 from sparkshelf.plans.text import BIGRAMS, INDEX, SEGMENTS
-from sparkshelf.session import table
+from sparkshelf.session import cut, scratch, table
 
+#: Constants of the sweep; fixed values.
 SWEEP = (1, 5, 10, 20, 60, 200, 1000)
 
 
@@ -27,8 +28,7 @@ def _sparse(spark: SparkSession, sf_dir: str, k: int = ranking.POOL) -> DataFram
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain an item's text: the items, a stated query set, against all rows."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return docs.join(ranking.small(_items(spark, sf_dir)), F.contains("body", "text")).select("item", "id")
+    return ranking.containing(_docs(spark, sf_dir), _items(spark, sf_dir))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +127,7 @@ def quant_flat_control(spark, sf_dir):
 
 def _rankings(spark, sf_dir) -> DataFrame:
     """Two rankings of documents for the items: BM25, and bigram overlap by the share of the item's bigrams."""
-    sides = [sparse_blocks.rank(_docs(spark, sf_dir), _items(spark, sf_dir), weight=w).select(F.lit(w).alias("method"), "item", "id", "rank") for w in ("bm25", "overlap")]
-    return sides[0].unionByName(sides[1])
+    return cut(sparse_blocks.rank_by(_docs(spark, sf_dir), _items(spark, sf_dir)).select("method", "item", "id", "rank"))
 
 
 def _fused(both: DataFrame) -> DataFrame:
@@ -225,7 +224,46 @@ def bm25_postings(spark, sf_dir):
     return ranking.bm25(built, _items(spark, sf_dir), 10).select("item", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
-QUERIES = [bm25_topk, bm25_postings, bm25_topk_exclude, bm25_self_control, dense_topk, vector_norms, dense_label_recall, quant_fit, quant_codes, quant_topk, quant_agreement, quant_flat_control, rrf_fuse, rrf_sweep, metrics_overall, metrics_by_group, article_rollup, gate_verdicts, set_agreement, stride_sample, review_flags]
+_PACKS: dict[tuple[str, str], str] = {}
+PAIR = ("bm25", "overlap")
+
+
+def _pack(spark, sf_dir) -> DataFrame:
+    """The stored pack of these tables, ranked and written once in a session; items go to groups by their id modulo 4."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PACKS:
+        items = _items(spark, sf_dir).select("item", (F.col("item") % 4).alias("grp"))
+        path = f"{scratch(spark)}/pack"
+        evalpack.store(evalpack.pack(_rankings(spark, sf_dir), _gold(spark, sf_dir), items, PAIR), path)
+        evalpack.load(spark, path, PAIR)
+        _PACKS[key] = path
+    return spark.read.parquet(_PACKS[key])
+
+
+def rank_cache(spark, sf_dir):
+    return _pack(spark, sf_dir).select("item", F.col("grp").cast("long").alias("grp"), *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("gold", *PAIR)])
+
+
+def metrics_cached(spark, sf_dir):
+    """Means at 10 of all methods from the stored ranks."""
+    return evalpack.metrics(_pack(spark, sf_dir), PAIR)
+
+
+def metrics_by_law(spark, sf_dir):
+    """Recall by group from the stored ranks, for groups of at least eight items."""
+    return evalpack.by_group(_pack(spark, sf_dir), PAIR, least=8).withColumn("grp", F.col("grp").cast("long"))
+
+
+def metrics_of_group(spark, sf_dir):
+    """One group, another cut and constant."""
+    return evalpack.metrics(_pack(spark, sf_dir), PAIR, k=5, rrf_k=10, group=1)
+
+
+def example_ranks(spark, sf_dir):
+    return evalpack.first_hits(_pack(spark, sf_dir), PAIR, every=7, most=12)
+
+
+QUERIES = [rank_cache, metrics_cached, metrics_by_law, metrics_of_group, example_ranks, bm25_topk, bm25_postings, bm25_topk_exclude, bm25_self_control, dense_topk, vector_norms, dense_label_recall, quant_fit, quant_codes, quant_topk, quant_agreement, quant_flat_control, rrf_fuse, rrf_sweep, metrics_overall, metrics_by_group, article_rollup, gate_verdicts, set_agreement, stride_sample, review_flags]
 
 GOLD = "gold AS (SELECT b.item_id AS item, d.doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 TERMS = f"qseg AS (SELECT item_id AS item, {SEGMENTS} AS seg FROM benchmark), terms AS (SELECT DISTINCT item, unnest({BIGRAMS}) AS term FROM qseg)"
@@ -281,6 +319,19 @@ SQL = {
     "rrf_sweep": f"""WITH {RANKED}, ks AS (SELECT CAST(unnest([{", ".join(map(str, SWEEP))}]) AS BIGINT) AS k),
         fk AS (SELECT k, item, id, row_number() OVER (PARTITION BY k, item ORDER BY score DESC, id) AS rank FROM (SELECT k, item, id, round(sum(1 / (k + rank)), 12) AS score FROM both_m, ks GROUP BY ALL) QUALIFY rank <= 50),
         {_measured('fk', 'SELECT item_id AS item, k FROM benchmark, ks', 'k,')} SELECT k, count(*) AS n, round(avg(recall_10), 9) AS recall_10, round(avg(rr), 9) AS mrr FROM per_item GROUP BY k""",
+    "rank_cache": f"""WITH {RANKED}, g AS (SELECT item, string_agg(id, ',' ORDER BY id) AS gold FROM gold GROUP BY item), a AS (SELECT item, string_agg(id, ',' ORDER BY rank) AS bm25 FROM bm GROUP BY item), b AS (SELECT item, string_agg(id, ',' ORDER BY rank) AS overlap FROM ovr GROUP BY item)
+        SELECT item_id AS item, item_id % 4 AS grp, coalesce(gold, '') AS gold, coalesce(bm25, '') AS bm25, coalesce(overlap, '') AS overlap FROM benchmark LEFT JOIN g ON g.item = item_id LEFT JOIN a ON a.item = item_id LEFT JOIN b ON b.item = item_id""",
+    "metrics_cached": f"WITH {RANKED}, {_measured('allm', METHODS, 'method,')} SELECT method, count(*) AS n, round(avg(recall_10), 9) AS recall, round(avg(hit_10), 9) AS hit, round(avg(rr), 9) AS mrr, round(avg(ndcg_10), 9) AS ndcg FROM per_item GROUP BY method",
+    "metrics_by_law": f"""WITH {RANKED}, {_measured('allm', "SELECT item_id AS item, item_id % 4 AS grp, method FROM benchmark, (SELECT unnest(['bm25', 'overlap', 'hybrid']) AS method)", 'method,')},
+        p AS (SELECT grp, count(DISTINCT item) AS n, round(avg(recall_10) FILTER (method = 'bm25'), 9) AS bm25, round(avg(recall_10) FILTER (method = 'overlap'), 9) AS overlap, round(avg(recall_10) FILTER (method = 'hybrid'), 9) AS hybrid FROM per_item GROUP BY grp)
+        SELECT *, hybrid < greatest(bm25, overlap) AS loses, round(hybrid - greatest(bm25, overlap), 9) AS gap FROM p WHERE n >= 8""",
+    "metrics_of_group": f"""WITH {RANKED}, f10 AS (SELECT 'hybrid' AS method, item, id, row_number() OVER (PARTITION BY item ORDER BY score DESC, id) AS rank FROM (SELECT item, id, round(sum(1 / (10 + rank)), 12) AS score FROM both_m GROUP BY ALL) QUALIFY rank <= 50),
+        r AS (SELECT * FROM both_m UNION ALL SELECT method, item, id, rank FROM f10), h AS (SELECT method, r.item, count(*) FILTER (rank <= 5) AS h5, min(rank) AS first, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg FROM r JOIN gold ON gold.item = r.item AND gold.id = r.id GROUP BY ALL),
+        sz AS (SELECT item, count(*) AS g FROM gold GROUP BY item), i AS ({METHODS})
+        SELECT method, count(*) AS n, round(avg(coalesce(h5 / g, 0)), 9) AS recall, round(avg(CASE WHEN h5 > 0 THEN 1.0::DOUBLE ELSE 0 END), 9) AS hit, round(avg(coalesce(1 / first, 0)), 9) AS mrr, round(avg(coalesce(dcg / list_sum([1 / log2(k + 1) FOR k IN range(1, least(g, 5) + 1)]), 0)), 9) AS ndcg
+        FROM i LEFT JOIN h USING (item, method) LEFT JOIN sz USING (item) WHERE item % 4 = 1 GROUP BY method""",
+    "example_ranks": f"""WITH {RANKED}, f AS (SELECT method, a.item, min(rank) AS r FROM allm a JOIN gold ON gold.item = a.item AND gold.id = a.id GROUP BY ALL)
+        SELECT item_id AS item, coalesce(max(r) FILTER (method = 'bm25'), -1) AS bm25, coalesce(max(r) FILTER (method = 'overlap'), -1) AS overlap, coalesce(max(r) FILTER (method = 'hybrid'), -1) AS hybrid FROM benchmark LEFT JOIN f ON f.item = item_id WHERE item_id % 7 = 0 GROUP BY item_id ORDER BY item_id LIMIT 12""",
     "metrics_overall": f"WITH {RANKED}, {_measured('allm', METHODS, 'method,')} SELECT method, count(*) AS n, {MEANS} FROM per_item GROUP BY method",
     "metrics_by_group": f"""WITH {RANKED}, {_measured('allm', "SELECT item_id AS item, item_id % 4 AS grp, method FROM benchmark, (SELECT unnest(['bm25', 'overlap', 'hybrid']) AS method)", 'method,')},
         p AS (SELECT grp, round(avg(recall_10) FILTER (method = 'bm25'), 9) AS bm25, round(avg(recall_10) FILTER (method = 'overlap'), 9) AS overlap, round(avg(recall_10) FILTER (method = 'hybrid'), 9) AS hybrid FROM per_item GROUP BY ROLLUP (grp)) SELECT *, hybrid < greatest(bm25, overlap) AS loses FROM p""",
