@@ -25,13 +25,13 @@ worked on in memory as a whole, and so is a file of at most ``FILE_RECORDS`` rec
 from __future__ import annotations
 
 import gzip
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkshelf.llm.ragged import checkpoint_dir, small_batches
+from sparkshelf.llm.ragged import small_batches
+from sparkshelf.session import scratch
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # RFC 4648
 END, VERSION = "\r\n", "WARC/1.1"
@@ -140,20 +140,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return found.select(field("X-Page").cast("long").alias("page_id"), "header", "payload").unionByName(rest.select("page_id", "header", payload.alias("payload")))
 
 
-def scratch(spark: SparkSession, kind: str = "warc") -> str:
-    """A new folder in the shared checkpoint folder, removed when Spark ends."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(hadoop)
-    files.deleteOnExit(hadoop)
-    return path
-
-
 def archive(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes the archive, reads it back, and gives page_id, payload_bytes, payload_digest, record_type, refers_to of every page."""
     spark = pages.sparkSession
-    path = path or scratch(spark)
+    path = path or scratch(spark, "warc")
     store(pages, path, id_col, url_col, html_col, min_bytes)
     said = records(spark, path).select(
         field("X-Page").cast("long").alias("page_id"), field("WARC-Type").alias("record_type"), field("X-Refers-To-Page").cast("long").alias("refers_to"), field("WARC-Payload-Digest").alias("said"), field("Content-Length").cast("long").alias("length"),

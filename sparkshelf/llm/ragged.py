@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkshelf import session
+
 SLICE_BYTES = 1 << 18
 BATCH_BYTES = "4m"
 
@@ -164,19 +166,7 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(len(rows)) - firsts[rows]
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one is set only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows in the shared checkpoint folder, so that a lost executor costs no recomputation of what led to them."""
-    checkpoint_dir(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return session.cut(df)
