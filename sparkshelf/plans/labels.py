@@ -8,7 +8,7 @@ from sparkshelf.functions import citations as C
 from sparkshelf.functions import numerals as N
 from sparkshelf.operators import evalset
 from sparkshelf.plans.text import BIGRAMS, SEGMENTS
-from sparkshelf.session import table
+from sparkshelf.session import scratch, table
 from sparkshelf.sources import statutes
 
 
@@ -73,7 +73,24 @@ def granularity_compare(spark, sf_dir):
     return moved.groupBy(F.coalesce("reason", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gold")).alias("gold"))
 
 
-QUERIES = [int_to_kanji, kanji_to_int, article_label, statute_chunks, refs_extract, refs_mask, refs_relative_counts, oracle_items, oracle_rejects, oracle_reference_counts, granularity_compare]
+def _files(spark, sf_dir):
+    path = f"{scratch(spark)}/laws"
+    statutes.write_generated(table(spark, sf_dir, "part"), path)
+    return statutes.read_laws(spark, f"{path}/*")
+
+
+def statute_files(spark, sf_dir):
+    """Paragraphs of laws that were written as tag-tree files, and the count of supplementary articles as a row each."""
+    rows = _files(spark, sf_dir)
+    return rows.select("law_id", "law_num", "title", "article", "caption", "label", "chapter", "section", "paragraph", "text", "in_main")
+
+
+def statute_articles(spark, sf_dir):
+    """The files' articles as chunks."""
+    return statutes.chunks(_files(spark, sf_dir).where("law_id IS NOT NULL"), "article").select("id", "law_id", "article", "caption", "chapter", "text", "index_text")
+
+
+QUERIES = [statute_files, statute_articles, int_to_kanji, kanji_to_int, article_label, statute_chunks, refs_extract, refs_mask, refs_relative_counts, oracle_items, oracle_rejects, oracle_reference_counts, granularity_compare]
 
 
 def kanji(n: str) -> str:
@@ -119,7 +136,14 @@ judged AS (SELECT qseg.*, CASE WHEN refs > 3 THEN 'tooManyRefs' WHEN ref_chars /
     WHEN coalesce(list_sum([length(x) FOR x IN seg]), 0) < 25 THEN 'notSubstantive' WHEN coalesce(rare, 0) < 3 THEN 'notDistinctive' END AS reason FROM qseg LEFT JOIN rare USING (id, si)),
 items AS (SELECT id || '@' || si AS item, id AS source, law_id, text AS query, gold FROM judged WHERE reason IS NULL)"""
 
+LAWS = """base AS (SELECT p_partkey AS k, p_partkey % 20 AS law, CAST(p_partkey // 20 AS VARCHAR) AS article, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS caption, replace(p_name || 'は、' || p_brand || p_type, ' ', '') AS one, replace(p_brand, ' ', '') AS two FROM part),
+heads AS (SELECT law, CASE WHEN law % 5 > 0 THEN 'L' || law END AS law_id, CASE WHEN law % 5 > 0 THEN 'N' ELSE '番号' END || law AS law_num, CASE WHEN law % 5 > 0 THEN 'T' ELSE '題' END || law AS title FROM (SELECT DISTINCT law FROM base)),
+paras AS (SELECT k, law, article, caption, '1' AS paragraph, one AS text FROM base UNION ALL SELECT k, law, article, caption, '2', two FROM base WHERE k % 4 <> 0)"""
 SQL = {
+    "statute_files": f"""WITH {LAWS} SELECT law_id, law_num, title, article, caption, '第何条' AS label, '第一章　総則' AS chapter, CAST(NULL AS VARCHAR) AS section, paragraph, text, true AS in_main FROM paras JOIN heads USING (law)
+        UNION ALL SELECT law_id, law_num, title, NULL, NULL, NULL, NULL, NULL, NULL, NULL, false FROM heads, range(2) WHERE law % 3 = 0""",
+    "statute_articles": f"""WITH {LAWS}, a AS (SELECT law, article, caption, string_agg(text, '' ORDER BY paragraph) AS text FROM paras GROUP BY ALL)
+        SELECT law_id || '#' || article || '-0' AS id, law_id, article, caption, '第一章　総則' AS chapter, text, coalesce(caption || '　', '') || text AS index_text FROM a JOIN heads USING (law) WHERE law_id IS NOT NULL""",
     "int_to_kanji": f"SELECT n, {kanji('n')} AS kanji FROM range(0, 10001) t(n)",
     "kanji_to_int": f"SELECT {kanji('n')} AS kanji, CASE WHEN n BETWEEN 1 AND 9999 THEN n END AS n FROM range(0, 10001) t(n)",
     "article_label": f"SELECT n, '第' || {kanji('n')} || '条' || CASE WHEN n % 3 = 0 THEN 'の' || {kanji('n % 7 + 1')} ELSE '' END AS label, n || CASE WHEN n % 3 = 0 THEN '_' || (n % 7 + 1) ELSE '' END AS number FROM range(1, 10000) t(n)",

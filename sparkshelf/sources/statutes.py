@@ -13,7 +13,9 @@ from sparkshelf.functions import text as T
 from sparkshelf.functions.numerals import int_to_kanji
 
 #: Tags whose text is numbering or headings, not provision text; fixed values.
-NOT_BODY = frozenset({"ArticleTitle", "ArticleCaption", "ParagraphNum", "ItemTitle", "Subitem1Title", "Subitem2Title", "ChapterTitle", "SectionTitle", "LawTitle"})
+NOT_BODY = frozenset({"ParagraphNum", "ItemTitle", "Subitem1Title", "Subitem2Title", "Subitem3Title", "Subitem4Title", "ArticleTitle", "ArticleCaption", "ParagraphCaption"})
+#: White space of the format; fixed value.
+SPACE = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 ROW = "law_id string, law_num string, title string, article_pos int, article string, caption string, label string, chapter string, section string, paragraph_pos int, paragraph string, text string, in_main boolean"
 
 
@@ -30,19 +32,27 @@ def _find(node: dict, tag: str) -> dict | None:
 def _text(node: dict | None, body: bool) -> str:
     if node is None:
         return ""
-    return "".join(c if isinstance(c, str) else "" if body and c.get("tag") in NOT_BODY else _text(c, body) for c in node.get("children") or [])
+    return "".join(c if isinstance(c, str) else "" if not isinstance(c, dict) or body and c.get("tag") in NOT_BODY else _text(c, body) for c in node.get("children") or [])
 
 
-def _clean(text: str) -> str:
-    return "".join(text.split()).replace("﻿", "")
+def _heading(node: dict | None) -> str | None:
+    return None if node is None else _text(node, False).strip(SPACE) or None
+
+
+def _without_space(text: str) -> str:
+    return text.translate(dict.fromkeys(map(ord, SPACE)))
 
 
 def paragraphs(raw: str) -> Iterator[tuple]:
-    """Rows of a law; articles of supplementary provisions come with in_main false and without text."""
+    """Rows of a law; articles of supplementary provisions come with in_main false and without text.
+
+    A file may be the tree alone; then number and title come from the tree.
+    """
     law = json.loads(raw)
     info, revision = law.get("law_info") or {}, law.get("revision_info") or {}
-    head = (info.get("law_id"), info.get("law_num"), revision.get("law_title"))
-    root = law.get("law_full_text") or {}
+    root = law if law.get("law_full_text") is None else law["law_full_text"]
+    number, title = info.get("law_num"), revision.get("law_title")
+    head = (info.get("law_id"), _heading(_find(root, "LawNum")) if number is None else number, _heading(_find(root, "LawTitle")) if title is None else title)
     place = 0
 
     def walk(node: dict, chapter: str | None, section: str | None) -> Iterator[tuple]:
@@ -50,18 +60,22 @@ def paragraphs(raw: str) -> Iterator[tuple]:
         for child in _children(node):
             if child.get("tag") == "Article":
                 number = (child.get("attr") or {}).get("Num")
-                caption = _clean(_text(next(iter(_children(child, "ArticleCaption")), None), False))
-                caption = caption[caption[:1] in "（(" and 1 or 0 : len(caption) - (caption[-1:] in ("）", ")"))] if caption else ""
-                label = _clean(_text(next(iter(_children(child, "ArticleTitle")), None), False))
+                named = next(iter(_children(child, "ArticleCaption")), None)
+                caption = None if named is None else _text(named, False)
+                if caption is not None:
+                    caption = caption[caption[:1] in ("（", "(") :]
+                    caption = caption[: len(caption) - (caption[-1:] in ("）", ")"))].strip(SPACE)
+                label = _heading(next(iter(_children(child, "ArticleTitle")), None))
                 place += 1
                 for k, p in enumerate(_children(child, "Paragraph")):
-                    text = _clean(_text(p, True))
+                    text = _without_space(_text(p, True))
                     if text and number:
-                        yield (*head, place, number, caption or None, label or None, chapter, section, k, str((p.get("attr") or {}).get("Num") or "1"), text, True)
+                        own = (p.get("attr") or {}).get("Num")
+                        yield (*head, place, number, caption, label, chapter, section, k, "1" if own is None else str(own), text, True)
             else:
                 tag = child.get("tag")
-                title = _clean(_text(next(iter(_children(child, f"{tag}Title")), None), False)) or None
-                yield from walk(child, title if tag == "Chapter" else chapter, title if tag == "Section" else None if tag == "Chapter" else section)
+                title = _heading(next(iter(_children(child, f"{tag}Title")), None)) if tag in ("Chapter", "Section") else None
+                yield from walk(child, title if tag == "Chapter" else chapter, title if tag == "Section" else section)
 
     main = _find(root, "MainProvision")
     if main:
@@ -88,7 +102,7 @@ class LawParagraphs:
 
 
 def read_laws(spark: SparkSession, path: str) -> DataFrame:
-    """All laws under ``path``: a row per paragraph, with file name and file order."""
+    """All laws under ``path``: a row per paragraph, with the file's name, by which laws are ordered."""
     spark.udtf.register("law_paragraphs", LawParagraphs)
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
     files.createOrReplaceTempView("_law_files")
@@ -109,7 +123,7 @@ def chunks(rows: DataFrame, granularity: str = "paragraph") -> DataFrame:
         parts = F.array_sort(F.collect_list(F.struct("paragraph_pos", "text")))
         main = main.groupBy("law_id", "title", "article_pos", "article", "label", "caption", "chapter", "section").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text")).withColumn("paragraph", F.lit("0"))
     chunk_id = F.concat_ws("", "law_id", F.lit("#"), "article", F.lit("-"), "paragraph")
-    return main.select(chunk_id.alias("id"), "law_id", "title", "article", "paragraph", "label", "caption", "chapter", "section", "text", F.concat(F.coalesce(F.concat("caption", F.lit("　")), F.lit("")), F.col("text")).alias("index_text"))
+    return main.select(chunk_id.alias("id"), "law_id", "title", "article", "paragraph", "label", "caption", "chapter", "section", "text", F.concat(F.when(F.col("caption") != "", F.concat("caption", F.lit("　"))).otherwise(""), F.col("text")).alias("index_text"))
 
 
 def generated(parts: DataFrame) -> DataFrame:
@@ -131,3 +145,33 @@ def generated(parts: DataFrame) -> DataFrame:
     article = (F.floor(k / 3) % 331 + 1).cast("string")
     paragraph = (F.floor(k / 993) + 1).cast("string")
     return parts.select(F.concat_ws("", law, F.lit("#"), article, F.lit("-"), paragraph).alias("id"), law.alias("law_id"), article.alias("article"), paragraph.alias("paragraph"), k.alias("chunk_idx"), text.alias("text"))
+
+
+def write_generated(parts: DataFrame, path: str, laws: int = 20) -> None:
+    """Tag-tree files, one a law, from the part table, for queries that need files: captions, items, blank paragraphs, supplementary provisions, and laws that are the tree alone."""
+    k = F.col("p_partkey")
+    tree = lambda tag, *children, num=None: F.concat(F.lit(f'{{"tag": "{tag}", "attr": {{'), *([F.lit('"Num": "'), num, F.lit('"')] if num is not None else []), F.lit('}, "children": ['), *_between(children), F.lit("]}"))
+    said = lambda c: F.concat(F.lit('"'), c if isinstance(c, Column) else F.lit(c), F.lit('"'))
+    first = tree(
+        "Paragraph", tree("ParagraphCaption", said("（見出し）")), tree("ParagraphNum", said("１")), tree("ParagraphSentence", tree("Sentence", said(F.concat(F.col("p_name"), F.lit("　は、"))))),
+        tree("Item", tree("ItemTitle", said("一")), tree("ItemSentence", said(F.col("p_brand"))), tree("Subitem3", tree("Subitem3Title", said("（１）")), tree("Sentence", said(F.col("p_type"))))), num=F.lit("1"),
+    )
+    second = tree("Paragraph", tree("Sentence", said(F.when(k % 4 == 0, " 　 ").otherwise(F.col("p_brand")))), num=F.lit("2"))
+    caption = F.when(k % 3 == 0, F.concat(tree("ArticleCaption", said(F.concat(F.lit("（"), F.col("p_type"), F.lit(" ）")))), F.lit(", "))).otherwise("")
+    article = tree("Article", F.concat(caption, tree("ArticleTitle", said("第何条"))), first, second, num=F.floor(k / laws).cast("string"))
+    rows = parts.select((k % laws).alias("law"), F.struct(k.alias("k"), article.alias("j")).alias("a"))
+    # a law is one file, so one row
+    whole = rows.groupBy("law").agg(F.array_join(F.transform(F.array_sort(F.collect_list("a")), lambda x: x["j"]), ", ").alias("articles"))
+    law = F.col("law").cast("string")
+    extra = F.when(F.col("law") % 3 == 0, F.concat(F.lit(", "), tree("SupplProvision", tree("Article", tree("Paragraph", said("附則"))), tree("Article", said("x"))))).otherwise("")
+    body = tree("LawBody", tree("LawTitle", said(F.concat(F.lit(" 題"), law))), F.concat(tree("MainProvision", tree("Chapter", tree("ChapterTitle", said("第一章　総則 ")), F.col("articles"))), extra))
+    full = tree("Law", tree("LawNum", said(F.concat(F.lit("番号"), law))), body)
+    wrapped = F.concat(F.lit('{"law_info": {"law_id": "L'), law, F.lit('", "law_num": "N'), law, F.lit('"}, "revision_info": {"law_title": "T'), law, F.lit('"}, "law_full_text": '), full, F.lit("}"))
+    whole.select("law", F.when(F.col("law") % 5 == 0, full).otherwise(wrapped).alias("value")).repartition(laws, "law").write.partitionBy("law").text(path)
+
+
+def _between(children: tuple) -> list:
+    out = []
+    for c in children:
+        out += [F.lit(", ")] * bool(out) + [c]
+    return out

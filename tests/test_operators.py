@@ -134,12 +134,21 @@ def test_statutes(spark, tmp_path):
     assert rows.where("NOT in_main").count() == 1
     got = {r.id: r for r in statutes.chunks(rows).collect()}
     assert set(got) == {"X1#1-1", "X1#2_3-1", "X1#2_3-2"}
-    assert got["X1#1-1"].text == "この法は、甲" and got["X1#1-1"].caption == "目的" and got["X1#1-1"].chapter == "第一章総則"
+    assert got["X1#1-1"].text == "この法は、甲" and got["X1#1-1"].caption == "目的" and got["X1#1-1"].chapter == "第一章 総則"  # inner blanks stay
     assert got["X1#1-1"].index_text == "目的　この法は、甲" and got["X1#2_3-1"].text == "乙乙"
     whole = {r.id: r.text for r in statutes.chunks(rows, "article").collect()}
     assert whole == {"X1#1-0": "この法は、甲", "X1#2_3-0": "乙乙丙"}
 
 
+def test_headings_and_bare_trees():
+    """Captions and titles of paragraphs and deep items are no text; a tree alone gives its own number and title."""
+    law = node("Law", node("LawNum", " 令和元年法律第一号 "), node("LawBody", node("LawTitle", " 題 名 "), node("MainProvision", node("Section", node("SectionTitle", "第一節"), node("Chapter", node("Article",
+        node("ArticleCaption", "（（甲）"), node("Paragraph", node("ParagraphCaption", "（見出し）"), node("Sentence", "本　文\u001d"), node("Subitem3", node("Subitem3Title", "（１）"), node("Subitem4Title", "い"), node("Sentence", "細目")), Num=0), Num="3"))))))
+    (row,) = statutes.paragraphs(json.dumps(law))
+    assert row[:3] == (None, "令和元年法律第一号", "題 名")
+    assert row[4:] == ("3", "（甲", None, None, "第一節", 0, "0", "本文\u001d細目", True)
+
+
 def test_evaluation_set(spark):
     rare = "珈琲豆の焙煎及び抽出に関する特別な届出書類を作成して提出しなければならない"
     rows = [("L#1-1", "L", "1", "1", f"第五条の規定により、{rare}。"), ("L#2-1", "L", "2", "1", "第三条、第四条、第五条、第六条及び第七条の規定による。"), ("L#3-1", "L", "3", "1", f"第五条第九項の規定により、{rare[::-1]}。"), ("L#4-1", "L", "4", "1", f"第四条及び第九十条の規定により、{rare}。")]
