@@ -7,11 +7,14 @@ dealt to them by their rank among the pieces of their length, which two-level
 counts give without bringing a length to one task.
 
 The incumbent is best-fit decreasing on the census.  While it needs more
-sequences than the lower bound, the search enumerates, around the largest piece
-left, the undominated fillings of the rest, most filled first, and cuts branches
-whose waste cannot beat the incumbent.  ``EFFORT`` bounds the nodes visited; it
-bounds search time only, every piece is packed either way.  ``FILLINGS``, and
-``STEPS`` times as many steps, bound the fillings of a node in a first search only.
+sequences than the lower bound, a depth-first search takes the largest piece left
+and enumerates the undominated fillings of the rest of its sequence, the fullest
+first, each as often as it goes and every lesser number of times; a branch ends
+where its waste, or the lower bound of what it leaves, cannot beat the incumbent.
+Fillings come one at a time from the sums that the pieces left can reach, so none is
+left out and no list of them is held.  ``effort`` (nodes, and 64 candidate fillings
+each, after the first way down) is the search's only limit; it bounds time, every
+piece is packed either way, and with ``effort=None`` the result is the least number.
 
 Null texts are empty; an empty document is its closing id alone.  Repeated rows
 (and copies a mix made) are packed as often as they occur.  Empty tables give no
@@ -21,7 +24,7 @@ rows.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from sparkshelf.llm.ragged import Texts, cut, map_slices, small_batches
 from sparkshelf.llm.token_counts import vocabulary
 
 CAPACITY, END = 2048, 0
-EFFORT, FILLINGS, STEPS = 3000, 48, 8
+EFFORT, DUALS = 3000, 12
 
 Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -82,110 +85,158 @@ def lower_bound(census: dict[int, int], capacity: int) -> int:
     many, total = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(volume))
     bound = -(-int(total[-1]) // capacity)
     half = capacity // 2
-    for k in range(half + 1):
-        large = int(many[-1] - many[capacity - k + 1])
-        middle, middle_volume = int(many[capacity - k + 1] - many[half + 1]), int(total[capacity - k + 1] - total[half + 1])
-        small_volume = int(total[half + 1] - total[k])
-        bound = max(bound, large + middle + max(0, -(-(small_volume - (middle * capacity - middle_volume)) // capacity)))
+    k = np.arange(half + 1)
+    large, middle = many[-1] - many[capacity - k + 1], many[capacity - k + 1] - many[half + 1]
+    small = total[half + 1] - total[k] - (middle * capacity - (total[capacity - k + 1] - total[half + 1]))
+    return max(bound, int((large + middle + np.maximum(0, -(-small // capacity))).max()))
+
+
+def dual_bound(census: dict[int, int], capacity: int) -> int:
+    """The largest bound that rounded-down multiples (dual feasible functions) give, small pieces below each cut taken as nothing and large ones as whole."""
+    lengths, counts = np.array(list(census), np.int64), np.array(list(census.values()), np.int64)
+    bound = 0
+    for cut_off in range(capacity // 2 + 1):
+        size = np.where(lengths > capacity - cut_off, capacity, np.where(lengths < cut_off, 0, lengths))
+        for k in range(1, DUALS + 1):
+            q, r = np.divmod((k + 1) * size, capacity)
+            bound = max(bound, -(-int((counts * np.where(r, q * capacity, k * size)).sum()) // (k * capacity)))
     return bound
 
 
-def undominated(counts: dict[int, int], room: int, limit: int = FILLINGS) -> tuple[list[Filling], bool, int]:
-    """Fillings of ``room`` that no exchange with a piece left out improves, fullest first; whether ``limit`` may have left some out; and the steps."""
-    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
-    found: list[tuple[int, Filling]] = []
-    steps = [0]
+class Fillings:
+    """The fillings that pieces, ``counts`` of the ascending ``lengths``, can give.
 
-    ascending = lengths[::-1]
+    ``reach[i]`` has bit s set where pieces of the first i lengths add up to s.
+    """
 
-    def left_out(filling: dict[int, int], low: int, high: int) -> bool:
+    def __init__(self, lengths: list[int], counts: list[int], capacity: int):
+        self.lengths, self.counts, self.capacity = lengths, counts, capacity
+        self.most, self.reach = [0] * len(lengths), [1] * (len(lengths) + 1)
+        self.seen = 0
+        self.follow(range(len(lengths)))
+
+    def follow(self, changed) -> None:
+        """To be called after the counts at these places have changed."""
+        low = len(self.lengths)
+        for i in changed:
+            most = min(self.counts[i], self.capacity // self.lengths[i])
+            if most != self.most[i]:
+                self.most[i], low = most, min(low, i)
+        every = (1 << self.capacity + 1) - 1
+        for i in range(low, len(self.lengths)):
+            sums, left, step = self.reach[i], self.most[i], 1
+            while left:
+                n = min(left, step)
+                sums |= sums << n * self.lengths[i] & every
+                left, step = left - n, 2 * step
+            self.reach[i + 1] = sums
+
+    def exact(self, i: int, total: int, chosen: Filling = ()):
+        """Fillings of exactly ``total`` by the first i lengths, longest pieces first, as (place, how many)."""
+        self.seen += 1
+        if not total:
+            yield chosen
+            return
+        i = min(i, bisect_right(self.lengths, total))
+        while i and self.reach[i] >> total & 1:
+            i -= 1
+            x = self.lengths[i]
+            for n in range(min(self.most[i], total // x), 0, -1):
+                if self.reach[i] >> total - n * x & 1:
+                    yield from self.exact(i, total - n * x, (*chosen, (i, n)))
+
+    def left_out(self, inside: dict[int, int], low: int, high: int) -> bool:
         """Whether a piece of a length from low to high stays outside."""
-        for x in ascending[bisect_left(ascending, low) :]:
-            if x > high:
-                return False
-            if counts[x] > filling.get(x, 0):
+        for i in range(bisect_left(self.lengths, low), bisect_right(self.lengths, high)):
+            if self.counts[i] > inside.get(i, 0):
                 return True
         return False
 
-    def dominated(filling: dict[int, int], slack: int) -> bool:
-        inside = sorted(filling)
-        pairs = {a + b for i, a in enumerate(inside) for b in inside[i if filling[a] > 1 else i + 1 :]}
-        return left_out(filling, 1, slack) or any(left_out(filling, y + 1, y + slack) for y in inside) or any(left_out(filling, y, y + slack) for y in pairs)
-
-    def go(top: int, left: int, chosen: dict[int, int]) -> bool:
-        """Adds, longest first, lengths of at most ``top``; True once enough were seen."""
-        steps[0] += 1
-        tried = False
-        at = bisect_left(ascending, min(top, left) + 1) - 1
-        while at >= 0:
-            x = ascending[at]
-            tried = True
-            for n in range(min(counts[x], left // x), 0, -1):
-                if go(x - 1, left - n * x, chosen | {x: n}):
-                    return True
-            at -= 1
-            if steps[0] > STEPS * limit:
-                return True
-        if not tried and not dominated(chosen, left):
-            found.append((left, tuple(sorted(chosen.items(), reverse=True))))
-        return len(found) >= limit or not left and not chosen
-
-    go(room, room, {})
-    return [f for _, f in sorted(found, key=lambda x: x[0])], len(found) >= limit or steps[0] > STEPS * limit, steps[0]
-
-
-def pack_census(census: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[tuple[int, Filling]]:
-    """Fillings with multiplicities that use up the census in as few sequences as the search finds.
-
-    A search takes at most ``limit`` fillings of a sequence, each as often as it
-    goes and once.  If that ends above the lower bound with effort left, it is
-    repeated with four times the limit and every multiplicity, until no limit was
-    met: then the result is the least number, and otherwise ``effort`` was used up
-    (a node, or the steps that a node takes in a first search, cost 1).
-    """
+    def dominated(self, filling: Filling, slack: int) -> bool:
+        """Whether a piece left out could come in, in place of nothing, of one shorter piece or of two."""
+        inside = dict(filling)
+        have = sorted(self.lengths[i] for i in inside)
+        twice = {self.lengths[i] for i, n in filling if n > 1}
+        pairs = {x + y for k, x in enumerate(have) for y in have[k:] if x != y or x in twice}
+        return self.left_out(inside, 1, slack) or any(self.left_out(inside, x + 1, x + slack) for x in have) or any(self.left_out(inside, x, x + slack) for x in pairs)
+
+    def undominated(self, room: int, allowed):
+        """(slack, filling), the fullest first, up to a slack of ``allowed()``, which may fall meanwhile."""
+        slack = 0
+        while slack <= min(room, allowed()):
+            if self.reach[-1] >> room - slack & 1:
+                for filling in self.exact(len(self.lengths), room - slack):
+                    if not self.dominated(filling, slack):
+                        yield slack, filling
+            slack += 1
+
+
+def pack_census(census: dict[int, int], capacity: int = CAPACITY, effort: int | None = EFFORT) -> list[tuple[int, Filling]]:
+    """Fillings with multiplicities that use up the census in as few sequences as the search finds; the least number with ``effort`` None."""
     census = {x: n for x, n in census.items() if n}
     best = best_fit_decreasing(census, capacity)
     best_n, bound = sum(m for m, _ in best), lower_bound(census, capacity)
+    if best_n > bound:
+        bound = max(bound, dual_bound(census, capacity))
+    lengths = sorted(census)
+    counts = [census[x] for x in lengths]
     total = sum(x * n for x, n in census.items())
-    limit, whole = FILLINGS, False
-
-    def branches(counts: dict[int, int], used: int, waste: int, path: list, fillings: list[Filling], allowed: int, every: bool):
-        """One at a time, the fullest first, so that no list of censuses is held."""
-        largest = max(counts)
-        for filling in fillings:
+    fillings = Fillings(lengths, counts, capacity)
+    path: list[tuple[int, Filling]] = []  # of places, not lengths
+    used = waste = nodes = 0
+    way_back = None  # what had been spent when the search first turned back
+
+    def change(sign: int, many: int, filling: Filling) -> None:
+        for i, n in filling:
+            counts[i] += sign * many * n
+        fillings.follow(i for i, _ in filling)
+
+    def allowed() -> int:
+        return (best_n - 1) * capacity - total - waste
+
+    def branches(top: int):
+        """Slack, how many times, and the filling with the largest piece, whose count stands one lower while this goes on."""
+        for slack, filling in fillings.undominated(capacity - lengths[top], allowed):
             need = dict(filling)
-            need[largest] = need.get(largest, 0) + 1
-            spare = capacity - sum(x * n for x, n in need.items())
-            most = min(counts[x] // n for x, n in need.items())
-            for many in range(most, 0, -1) if every else dict.fromkeys((most, 1)):
-                if waste + spare * many <= allowed:
-                    left = {x: n - many * need.get(x, 0) for x, n in counts.items()}
-                    yield {x: n for x, n in left.items() if n}, used + many, waste + spare * many, [*path, (many, tuple(sorted(need.items(), reverse=True)))]
-
-    while not whole and best_n > bound and effort > 0:
-        whole, every = limit > FILLINGS, limit > FILLINGS
-        stack = [iter([(census, 0, 0, [])])]
-        while stack and best_n > bound and effort > 0:
-            node = next(stack[-1], None)
-            if node is None:
-                stack.pop()
-                continue
-            effort -= 1
-            counts, used, waste, path = node
-            if not counts:
-                if used < best_n:
-                    best, best_n = path, used
-                continue
-            allowed = (best_n - 1) * capacity - total
-            if waste > allowed or used + lower_bound(counts, capacity) >= best_n:
-                continue
-            largest = max(counts)
-            fillings, cut_short, steps = undominated(counts | {largest: counts[largest] - 1}, capacity - largest, limit)
-            if every:
-                effort -= steps // (STEPS * FILLINGS)
-            whole = whole and not cut_short
-            stack.append(branches(counts, used, waste, path, fillings or [()], allowed, every))
-        limit *= 4
+            most = min([counts[i] // n for i, n in filling if i != top] + [(counts[top] + 1) // (need.get(top, 0) + 1)])
+            need[top] = need.get(top, 0) + 1
+            for many in range(most, 0, -1):
+                if slack * many <= allowed():
+                    yield slack, many, tuple(sorted(need.items(), reverse=True))
+
+    # a frame: the place of its largest piece, its branches, and the branch taken
+    stack: list[list] = []
+    entering = best_n > bound
+    while best_n > bound and (entering or stack) and (effort is None or way_back is None or nodes + fillings.seen // 64 < effort + way_back):
+        if entering:
+            nodes += 1
+            top = max((i for i, n in enumerate(counts) if n), default=-1)
+            if top < 0:
+                best, best_n = [(many, tuple((lengths[i], n) for i, n in filling)) for many, filling in path], used
+            elif allowed() >= 0 and used + lower_bound({lengths[i]: n for i, n in enumerate(counts) if n}, capacity) < best_n:
+                change(-1, 1, ((top, 1),))
+                stack.append([top, branches(top), None])
+            entering = False
+            continue
+        top, options, taken = stack[-1]
+        if taken:
+            way_back = nodes + fillings.seen // 64 if way_back is None else way_back
+            slack, many, filling = taken
+            change(1, many, filling)
+            change(-1, 1, ((top, 1),))
+            used, waste = used - many, waste - slack * many
+            path.pop()
+        stack[-1][2] = taken = next(options, None)
+        if taken is None:
+            change(1, 1, ((top, 1),))
+            stack.pop()
+            continue
+        slack, many, filling = taken
+        change(1, 1, ((top, 1),))
+        change(-1, many, filling)
+        used, waste = used + many, waste + slack * many
+        path.append((many, filling))
+        entering = True
     return best
 
 
@@ -209,7 +260,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return map_slices(docs.selectExpr(f"CAST(`{id_col}` AS long) doc_id", f"`{text_col}` text"), "text", work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, effort: int = EFFORT, tokenizer: str = "byte_bpe_50k.json", end: int = END) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, effort: int | None = EFFORT, tokenizer: str = "byte_bpe_50k.json", end: int = END) -> DataFrame:
     """The pieces with sequence_id and offset."""
     spark = docs.sparkSession
     small_batches(spark)
