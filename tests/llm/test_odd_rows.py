@@ -118,6 +118,22 @@ def test_near_copies_in_a_large_group_of_chains(spark, monkeypatch):
     assert all(got[i] == root(i) for i in range(len(docs)))
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    """Chains, stars and pairs over more partitions than one, each contracted in rounds."""
+    import random
+
+    random.seed(3)
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(200 + 2 * i, 201 + 2 * i) for i in range(20)] + [(7, 7)]
+    random.shuffle(links)
+    key = lambda i: i.to_bytes(2, "big")
+    monkeypatch.setattr(near_copies, "PARTITION_ROWS", 16)
+    got = near_copies.components(spark.createDataFrame([(key(a), key(b)) for a, b in links], "a binary, b binary")).collect()
+    want = {key(i): key(0) for i in range(61)} | {key(100 + i): key(100) for i in range(40)} | {key(200 + i): key(200 + i - i % 2) for i in range(40)}
+    assert len(got) == len(want) and {bytes(r.key): bytes(r.label) for r in got} == want
+    nothing = near_copies.components(spark.createDataFrame([], "a binary, b binary"))
+    assert nothing.columns == ["key", "label"] and nothing.count() == 0
+
+
 def test_register_likelihood_finds_the_similarity():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):
@@ -275,20 +291,43 @@ def test_packing_search():
     assert better
 
 
-def test_packing_search_goes_beyond_its_first_limit(monkeypatch):
-    """With one filling a node at first, the search still finds what it finds with 48."""
+def least_sequences(pieces, capacity):
+    """By sets of pieces: the fewest sequences and, for those, the least use of the last."""
+    best = {0: (0, capacity)}
+    for mask in range(1, 1 << len(pieces)):
+        options = []
+        for i, x in enumerate(pieces):
+            if mask >> i & 1:
+                n, used = best[mask & ~(1 << i)]
+                options.append((n, used + x) if used + x <= capacity else (n + 1, x))
+        best[mask] = min(options)
+    return best[(1 << len(pieces)) - 1][0]
+
+
+def test_packing_search_without_limit_finds_the_least_number():
     import random
 
     random.seed(6)
-    cases = []
-    while len(cases) < 25:
-        census = dict(Counter(random.randint(8, 55) for _ in range(random.randint(10, 25))))
-        found = sum(m for m, _ in packing.pack_census(census, 100))
-        if found < sum(m for m, _ in packing.best_fit_decreasing(census, 100)):
-            cases.append((census, found))
-    monkeypatch.setattr(packing, "FILLINGS", 1)
-    monkeypatch.setattr(packing.undominated, "__defaults__", (1,))
-    assert [sum(m for m, _ in packing.pack_census(census, 100)) for census, _ in cases] == [n for _, n in cases]
+    better = 0
+    for _ in range(60):
+        capacity = random.choice([20, 50, 100])
+        pieces = [random.randint(capacity // 6, capacity * 2 // 3) for _ in range(random.randint(1, 12))]
+        found = packing.pack_census(dict(Counter(pieces)), capacity, None)
+        assert Counter(x for many, filling in found for x, n in filling for _ in range(many * n)) == Counter(pieces)
+        n = sum(m for m, _ in found)
+        assert n == least_sequences(pieces, capacity)
+        better += n < sum(m for m, _ in packing.best_fit_decreasing(dict(Counter(pieces)), capacity))
+    assert better
+
+
+def test_packing_fillings_are_all_sums():
+    import itertools
+
+    lengths, counts = [2, 3, 5, 7], [3, 1, 2, 1]
+    of = packing.Fillings(lengths, counts, 12)
+    for total in range(13):
+        want = {tuple((i, n) for i, n in reversed(list(enumerate(many))) if n) for many in itertools.product(*[range(c + 1) for c in counts]) if sum(x * n for x, n in zip(lengths, many)) == total}
+        assert sorted(of.exact(4, total)) == sorted(want)
 
 
 def test_mixing(odd, odd_rows):
@@ -345,14 +384,14 @@ def _spellings(parsed, many=400):
         if op == "LITERAL":
             new = [chr(what)]
         elif op == "IN":
-            new = [x for kind, v in what for x in ([chr(v)] if str(kind) == "LITERAL" else [chr(v[0]), chr(v[1])])]
-        elif op == "NOT_LITERAL":
+            new = [x for kind, v in what for x in ([chr(v)] if str(kind) == "LITERAL" else ["1"] if str(kind) == "CATEGORY" else [chr(v[0]), chr(v[1])])]
+        elif op in ("NOT_LITERAL", "ANY"):
             new = ["x"]
         elif op == "SUBPATTERN":
             new = _spellings(what[3])
         elif op == "BRANCH":
             new = [x for b in what[1] for x in _spellings(b)]
-        elif op == "MAX_REPEAT":
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
             new = ["", *_spellings(what[2])] if what[0] == 0 else _spellings(what[2])
         else:
             assert op == "AT", op
@@ -386,6 +425,50 @@ def test_creative_commons_short_names(spark):
     assert got.labels == "cc-by-nc" and got.score > 0
 
 
+def test_license_bodies():
+    """Every hand-written sentence, as it stands and broken over commented lines, is found, gated as ungated."""
+    from types import SimpleNamespace
+
+    gated, ungated = licenses.Rules(), licenses.Rules()
+    ungated.automaton = SimpleNamespace(iter=lambda low: [(0, range(len(ungated.rules)))])
+    for label, word, sentence in licenses.BODIES:
+        for spelled in _spellings(licenses.re._parser.parse(sentence), 40):
+            for text in (spelled, "x " + spelled.replace(" ", "\n * ") + " y"):
+                found = gated.detect(text)
+                assert word in text and found == ungated.detect(text), (label, text)
+                assert label in {x[2] for x in found} or label == "ncsa", (label, text)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files".lower()
+    assert [x[2] for x in gated.detect(mit)] == ["mit"]
+
+
+def test_many_license_detections_are_quick():
+    import time
+
+    text = "licensed under the mit license. " * 16_000
+    began = time.time()
+    assert len(licenses.rules().detect(text)) == 16_000
+    assert time.time() - began < 5
+
+
+def test_license_base_places_equal_a_search_by_words(odd, odd_rows, spark):
+    import random
+
+    random.seed(4)
+    parts = ["MIT", "License", "license", "apache", "General", "public", "GNU", "é", "x1", "mitlicense"]
+    rows = list(odd_rows) + [(1000 + i, "".join(random.choice(parts) + random.choice([" ", "  ", "-", "\n", "_", ", "]) for _ in range(random.randint(0, 60))), "en", "s", 0, "k", 1, "g", 0) for i in range(150)]
+    rows += [(2000, "mit license " * 20_000, "en", "s", 0, "k", 1, "g", 0)] * 2
+    got = licenses.scan_licenses(spark.createDataFrame(rows, odd.schema)).collect()
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def want(text):
+        words = word.findall((text or "").translate(LOW))
+        at = [(i, label) for phrase, label in licenses.BASE for k in [len(phrase.split())] for i in range(len(words)) if words[i : i + k] == phrase.split()]
+        return (len(words), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at})))
+
+    assert Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got) == Counter((r[0], *want(r[1])) for r in rows)
+    assert all(0 <= r.score <= 1 and set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} for r in got)
+
+
 def test_contained_detections_are_suppressed():
     found = licenses.rules().detect("licensed under the gnu lesser general public license, version 3")
     assert [label for _, _, label, _ in found] == ["lgpl"]
@@ -433,16 +516,50 @@ def test_archive(spark, tmp_path):
         first = best[html or ""]
         want[(p, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if p == first else "revisit", None if p == first else first)] += 1
     assert Counter(tuple(r) for r in got) == want
-    assert spark.read.parquet(f"{path}/payloads").count() == len(best)
+    assert archive.stored(spark, path).count() == len(best)
     again = archive.records(spark, path).collect()
     assert Counter((r.page_id, bytes(r.payload)) for r in again) == Counter((p, (h or "").encode()) for p, _, h in pages)
-    archive.export_warc(spark, path, str(tmp_path / "warc"), 2)
-    read = archive.read_warc(spark, str(tmp_path / "warc")).collect()
-    assert Counter(r.header for r in read) == Counter(r.header for r in again)
+    read = archive.read_warc(spark, f"{path}/warc").collect()
+    assert Counter(r.header for r in read) == Counter({r.header for r in again})  # repeated rows share a record
     held = {r.header: bytes(r.payload) for r in again}
     assert all(bytes(r.payload) == (b"" if "WARC-Type: revisit" in r.header else held[r.header]) for r in read)
 
 
+def test_archive_of_nothing_long_pages_and_files(spark, tmp_path):
+    """No rows; a long payload among copies; files of two records each, read plain as well; one id with two urls."""
+    schema = "page_id long, url string, html string, payload string, n int"
+    assert archive.archive(spark.createDataFrame([], schema), str(tmp_path / "none")).count() == 0
+    long = "<p>long é</p>" * 200_000
+    rows = [(i, f"u{i}", long if i % 3 == 0 else f"p{i}", "x", 1) for i in range(9)] + [(8, "other", "p8", "x", 1)]
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    archive.store(df, str(tmp_path / "s"), file_records=2)
+    import glob
+    import gzip
+
+    files = glob.glob(str(tmp_path / "s" / "warc" / "part-*"))
+    assert len(files) >= 5
+    again = archive.records(spark, str(tmp_path / "s"))
+    assert Counter((r.page_id, bytes(r.payload).decode()) for r in again.collect()) == Counter((r[0], r[2]) for r in rows)
+    (tmp_path / "plain").mkdir()
+    for i, f in enumerate(files):
+        (tmp_path / "plain" / f"part-{i}").write_bytes(gzip.open(f).read())
+    plain, packed = (Counter((r.header, bytes(r.payload)) for r in archive.read_warc(spark, str(tmp_path / x)).collect()) for x in ("plain", "s/warc"))
+    assert plain == packed and len(plain) == 10
+
+
+def test_damaged_files_raise(spark, tmp_path):
+    archive.store(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), str(tmp_path / "s"))
+    import glob
+    import gzip
+
+    (f,) = glob.glob(str(tmp_path / "s" / "warc" / "part-*"))
+    raw = gzip.open(f).read()
+    (tmp_path / "d" / "warc").mkdir(parents=True)
+    (tmp_path / "d" / "warc" / "part-0").write_bytes(raw.replace(b"abc", b"abd"))
+    with pytest.raises(Exception, match="damaged payload"):
+        archive.stored(spark, str(tmp_path / "d")).collect()
+
+
 def test_archive_gives_reconstructed_records(spark, tmp_path, monkeypatch):
     """The query's sizes and digests are those of the records joined again; a damaged one raises."""
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd")], "page_id long, url string, html string")
@@ -530,6 +647,26 @@ def test_bpe_equals_the_library(tokenizer):
         assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_long_pre_tokens(tokenizer):
+    """Runs of thousands of letters, by the incremental merge and by the batch, equal the library."""
+    import random
+    import time
+
+    from sparkshelf.llm.bpe import bpe
+
+    random.seed(9)
+    model = bpe(token_counts.vocabulary())
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = ["".join(random.choice(signs) for _ in range(n)) for n in (1025, 3000, 5000)] + ["a" * 2049, "ab" * 1500, "=" * 4001, "é" * 1500, "the" * 900]
+    counts, ids = model.merge([w.encode() for w in words] + [b"short"])
+    at = np.append(0, np.cumsum(counts))
+    for i, w in enumerate([*words, "short"]):
+        assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(w, add_special_tokens=False).ids
+    began = time.time()
+    model.merge(["".join(random.choice(signs) for _ in range(200_000)).encode()])
+    assert time.time() - began < 20
+
+
 def test_pipeline(spark, odd, tmp_path):
     import corpus_pipeline
 
