@@ -61,6 +61,8 @@ def strip_caption(text: Column | str) -> Column:
 FOREIGN = {
     "cyrillic": "[Ѐ-ӿԀ-ԯ]",
     "hangul": "[가-힯ᄀ-ᇿ㄰-㆏]",
+    "greek": "[Ͱ-Ͽ]",
+    "full_width_latin": "[Ａ-Ｚａ-ｚ]",
     "control": "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]",
 }
 ALLOW_MARK = "text-hygiene:allow"
@@ -84,6 +86,17 @@ def prefixed(text: Column, prefix: str = "query: ") -> Column:
     return F.concat(F.lit(prefix), text)
 
 
+def strip_ansi(text: Column) -> Column:
+    """Without the escape codes that colour a terminal."""
+    return F.regexp_replace(text, "\\x1b\\[[0-9;]*[A-Za-z]", "")
+
+
+def fixed(value: Column, digits: int = 4, width: int = 0) -> Column:
+    """A number with so many digits after the point, without signs between thousands, padded on the left."""
+    out = F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+    return F.when(F.length(out) < width, F.lpad(out, width, " ")).otherwise(out)
+
+
 def short_hash(text: Column) -> Column:
     """First 16 hex digits of the SHA-256."""
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)

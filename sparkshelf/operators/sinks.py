@@ -51,3 +51,15 @@ def sizes(spark: SparkSession, path: str, stages: dict[str, str]) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     stage = F.coalesce(*[F.when(F.col("path").rlike(regex), F.lit(name)) for name, regex in stages.items()], F.lit("other"))
     return files.groupBy(stage.alias("stage")).agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+def write_codes(coded: DataFrame, fitted: DataFrame, path: str) -> int:
+    """Quantised vectors (id, c) and the quantiser (mu, s) beside them; an empty table is an error."""
+    n = write_table(coded.select("id", "c"), f"{path}/codes")
+    write_table(fitted, f"{path}/quantiser")
+    return n
+
+
+def write_ranking(ranking: DataFrame, path: str) -> None:
+    """item, id, rank and score as JSON lines, for checks against another implementation."""
+    ranking.select("item", "id", "rank", "score").write.json(path)

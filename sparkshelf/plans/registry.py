@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sparkshelf.plans import extras, labels, logs, retrieval, text
+from sparkshelf.plans import checks, extras, labels, logs, retrieval, text
 
-MODULES = (text, retrieval, labels, logs, extras)
+MODULES = (text, retrieval, labels, logs, extras, checks)
 
 
 def queries() -> dict:

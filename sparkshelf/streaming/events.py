@@ -1,11 +1,13 @@
-"""Streams over an events table (event_id, ts, user_id, event_type, value): windows, sessions, late rows, running alerts."""
+"""Streams over an events table (event_id, ts, user_id, event_type, value): windows, sessions, late rows, running alerts, landing."""
 
 from __future__ import annotations
 
-import uuid
-
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from sparkshelf.session import scratch
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -27,9 +29,68 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -
     return grouped.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def late_rows(events: DataFrame, allowed: str = "0 seconds") -> DataFrame:
+    """event_id, user_id, ts, behind (seconds): rows that come, in the order of ids, later than ``allowed`` after a row of their user with a greater time.
+
+    The state of a user is the greatest time so far.
+    """
+    grace = pd.Timedelta(allowed).total_seconds()
+
+    def work(key, parts, state):
+        rows = pd.concat(list(parts)).sort_values("event_id")
+        seen = rows["at"].cummax().shift(1)
+        if state.exists:
+            seen = seen.fillna(state.get[0]).clip(lower=state.get[0])
+        behind = seen - rows["at"]
+        state.update((max(float(rows["at"].max()), state.get[0] if state.exists else float("-inf")),))
+        late = behind > grace
+        yield pd.DataFrame({"event_id": rows["event_id"][late], "user_id": key[0], "at": rows["at"][late], "behind": behind[late]})
+
+    narrow = events.select("event_id", "user_id", (F.unix_micros("ts") / 1e6).alias("at"))
+    out = narrow.groupBy("user_id").applyInPandasWithState(work, "event_id long, user_id long, at double, behind double", "at double", "append", GroupStateTimeout.NoTimeout)
+    return out.select("event_id", "user_id", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("long")).alias("ts"), F.round("behind", 6).alias("behind"))
+
+
+def alerts(events: DataFrame, threshold: int, by: str = "event_type") -> DataFrame:
+    """A row for each key, once, when its rows reach ``threshold``; the state of a key is its count."""
+
+    def work(key, parts, state):
+        before = state.get[0] if state.exists else 0
+        after = before + sum(len(p) for p in parts)
+        state.update((after,))
+        reached = before < threshold <= after
+        yield pd.DataFrame({"key": [key[0]] * reached, "reached": [threshold] * reached})
+
+    # only counts go to the state's task
+    return events.select(F.col(by).cast("string").alias("key")).groupBy("key").applyInPandasWithState(work, "key string, reached long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def without_corrected(records: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Records (file, line, ts, event, target) that no correction names as its target, given out when the watermark has passed; corrections themselves go."""
+    rows = records.withWatermark("ts", delay)
+    gone = rows.where("event = 'correction'").select(F.col("file").alias("_file"), F.col("target").alias("_line"), F.col("ts").alias("_ts"))
+    own = rows.where("event != 'correction'")
+    joined = own.join(gone, (F.col("file") == F.col("_file")) & (F.col("line") == F.col("_line")) & (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"INTERVAL {delay}")), "leftOuter")
+    return joined.where("_line IS NULL").drop("_file", "_line", "_ts")
+
+
+def land(stream: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """Appends what the watermark has closed to Parquet files, each batch once; what is there now, or for good."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        query.awaitTermination()
+    return query
+
+
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Everything that the stream gives on what is there now, as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything that the stream gives on what is there now, as a table in the shared folder: the last state of a complete stream, all rows of an appending one."""
+    path = scratch(stream.sparkSession, "drained")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    found = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    return found.select(*stream.columns)
