@@ -19,7 +19,9 @@ is taken ``floor(target / size of the source)`` times, and those at the front
 once more, the last of them in part, until the target is met to the word.
 
 Null texts have size 0 and are taken 0 words; null sources are a source, the
-last; repeated rows each count; no rows give no rows.
+last; repeated rows each count; no rows give no rows.  Very long texts are only
+counted and hashed.  Rows that tie in id and text stand next to each other, in any
+order, which changes no sum.  Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkshelf.session import cut
+
 WEIGHTS, SHARE, CAP = (3, 1, 2), (3, 2), 2
 RAMPS = (-0.5, 0.0, 0.5)
 
@@ -71,6 +75,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_col), F.lit("")))).alias("_at"),
         *([F.struct(*keep).alias("_keep")] if keep else []),
     )
+    # narrow rows are kept, so that the texts are read once; where columns are to be carried, they are read again
+    rows = rows if keep else cut(rows)
     # buckets follow the order of the hashes
     rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_at", 1, 8), 16, 10).cast("long") * buckets / F.lit(float(1 << 32))).cast("int"))
     cells = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("_size"), F.first("source").alias("source"))
