@@ -1,21 +1,28 @@
 """License scans by ordered signature rules (operator 6).
 
-Every license family gives rules from the same hand-written forms (identifier
-line, grant, name, address, file head), so the families below make some hundreds
-of regexes.  One Aho-Corasick pass over a lower-cased text finds the keywords;
-only rules one of whose keywords is there run, and every match of a rule contains
-one.  Of the detections, taken by priority and
-then length, one that lies within an accepted one is suppressed; the rest name
+Rules are hand-written signatures of three kinds: sentences of license bodies and
+notices (``BODIES``), and, for every license family, what names it (a name, its
+identifiers, its address), set into the hand-written sentence forms in which
+licenses are named (identifier line, grant, name, address, file head), which gives
+some hundreds of regexes.  One Aho-Corasick pass over a lower-cased text finds the
+keywords; only rules one of whose keywords is there run, and every match of a rule
+contains one.  Of the detections, taken by priority and then length, one that lies
+within an accepted one is suppressed (accepted ones are kept as a staircase of
+rising starts and ends, so that a text with very many stays cheap); the rest name
 the text's labels.
 
 Base places, where the words of a base phrase stand consecutively, are found
-independently of the rules and always stay.  Null texts are empty.  Repeated rows
-are rows of their own.
+independently of the rules and always stay.  Null texts are empty; empty texts have
+no words, labels or score.  Very long texts are worked on whole, one at a time.
+Detections that tie in priority and length count by place, then label.  Repeated
+rows and null ids are rows of their own; other columns, whatever their names, are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -63,7 +70,7 @@ FAMILIES: tuple[tuple[str, str, str, str, str], ...] = (
     ("cc-by-sa", "cc by|cc-by", r"cc[ -]by[ -]sa", r"cc-by-sa", r"creativecommons\.org/licenses/sa/"),
     ("cc-by-nc", "cc by|cc-by", r"cc[ -]by[ -]nc(?:[ -](?:sa|nd))?", r"cc-by-nc-(?:sa|nd)-[1234]\.[05]", r"creativecommons\.org/licenses/by-nc-(?:sa|nd)/"),
     ("cc-by-nd", "cc by|cc-by", r"cc[ -]by[ -]nd", r"cc-by-nd", r"creativecommons\.org/licenses/nd/"),
-    ("cc-by", "cc by|cc-by", r"cc[ -]by", r"cc-by", r"creativecommons\.org/licenses/by$"),
+    ("cc-by", "cc by|cc-by", r"cc[ -]by", r"cc-by", r"creativecommons\.org/licenses/by(?:$|[ \n\"'>).,;])"),
     ("odbl", "odbl", r"odbl", r"odbl-1\.0", r"opendatacommons\.org/licenses/odbl"),
     ("odbl", "open database", r"open database", r"odc-odbl", r"opendatacommons\.org/odbl"),
     ("pddl", "pddl", r"pddl", r"pddl-1\.0", r"opendatacommons\.org/licenses/pddl"),
@@ -97,10 +104,79 @@ FORMS = (
     (r"https?://(?:www\.)?{url}", 70, 0.9),
     (r"licen[sc]e ?[:=] ?[\"']?(?:the )?(?:{ids}|{name})(?![\w-])", 50, 0.8),
 )
+#: label, keyword (a word of every match), sentence (a blank stands for any white space and comment signs between words); fixed values.
+BODIES: tuple[tuple[str, str, str], ...] = (
+    ("mit", "granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"),
+    ("mit", "substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc", "granted", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "agreement", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("ntp", "documentation", r"permission to use, copy, modify,? (?:and distribute|distribute,? and sell) this software and its documentation for any purpose (?:with or without fee )?is hereby granted(?: without fee)?,? provided that"),
+    ("boost", "organization", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "endorse", r"neither the names? of .{1,120}? (?:nor|or) the names of (?:its|their|any|other) (?:contributors|copyright holders) may be used to endorse"),
+    ("bsd", "advertising", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache", "compliance", r"you may not use this (?:file|software|work|project) except in compliance with the license"),
+    ("apache", "obtain", r"you may obtain a copy of the license at https?://(?:www\.)?apache\.org"),
+    ("apache", "agreements", r"licensed to the apache software foundation \(asf\) under one or more contributor license agreements"),
+    ("apache", "apache", r"this product includes software developed (?:by|at) the apache (?:software foundation|group)"),
+    ("gpl", "redistribute", r"this (?:program|file|software|package|script) is free software[:;,] you can redistribute it and/or modify it under the terms of (?:version \d of )?the gnu general public license"),
+    ("gpl", "received", r"you should have received a copy of the gnu general public license"),
+    ("gpl", "freedom", r"the licenses for most software(?: and other practical works)? are designed to take away your freedom"),
+    ("gpl", "copyleft", r"the gnu general public license is a free, copyleft license"),
+    ("lgpl", "redistribute", r"this (?:library|program|file|software|package) is free software[:;,] you can redistribute it and/or modify it under the terms of (?:version [\d.]+ of )?the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", "redistribute", r"this (?:program|file|software|library) is free software[:;,] you can redistribute it and/or modify it under the terms of (?:version \d of )?the gnu affero general public license"),
+    ("agpl", "received", r"you should have received a copy of the gnu affero general public license"),
+    ("agpl", "interaction", r"remote network interaction; use with the gnu (?:affero )?general public license"),
+    ("gfdl", "document", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla", r"the contents of this file are subject to the mozilla public license"),
+    ("mpl", "distributed", r"if a copy of the mpl was not distributed with this file, you can obtain one at"),
+    ("cddl", "development", r"the contents of this file are subject to the terms of (?:either )?the (?:gnu general public license .{1,80}? or the )?common development and distribution license"),
+    ("epl", "eclipse", r"(?:this program and the accompanying materials|all rights reserved\. this program and the accompanying materials) are made available under the terms of the eclipse public license"),
+    ("edl", "eclipse", r"made available under the terms of the eclipse distribution license"),
+    ("cpl", "common", r"made available under the terms of the common public license"),
+    ("artistic", "conditions", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic", "modify", r"you can redistribute it and/or modify it under the (?:same )?terms (?:of|as) (?:the artistic license|perl itself)"),
+    ("perl", "perl", r"(?:under|on) the same terms as perl itself"),
+    ("zlib", "liable", r"this software is provided 'as-is', without any express or implied warranty\. in no event will the authors? be held liable"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
+    ("libpng", "png", r"the png reference library is supplied \"as is\"|this code is released under the libpng license"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "compile", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("wtfpl", "want", r"do what the f[a-z*]+k you want to(?: public license)?"),
+    ("cc0", "waived", r"to the extent possible under law, .{1,120}? (?:has|have) waived all copyright and related or neighbou?ring rights"),
+    ("cc0", "deed", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by-nc", "noncommercial", r"(?:this work is )?licensed under (?:a|the) creative commons attribution-noncommercial(?:-[a-z]+)? \d\.\d"),
+    ("cc-by-sa", "sharealike", r"(?:this work is )?licensed under (?:a|the) creative commons attribution-sharealike \d\.\d"),
+    ("cc-by-nd", "noderivatives", r"(?:this work is )?licensed under (?:a|the) creative commons attribution-noderivatives \d\.\d"),
+    ("ofl", "font", r"this font software is licensed under the sil open font license"),
+    ("ofl", "reserved", r"no modified version of the font software may use the reserved font name"),
+    ("python", "nonexclusive", r"psf hereby grants licensee a nonexclusive, royalty-free, world-wide license"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("ncsa", "granted", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files \(the \"?software\"?\), to deal with the software"),
+    ("php", "php", r"this source file is subject to version [\d.]+ of the php license"),
+    ("ruby", "ruby", r"you can redistribute it and/or modify it under (?:either the terms of the ruby license|the same terms as ruby itself)"),
+    ("vim", "vim", r"vim is charityware"),
+    ("busl", "production", r"the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use"),
+    ("elastic", "hosted", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl", "functionality", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("eupl", "licensed", r"licensed under the eupl, version 1\.[0-2]|licensed under the european union public licen[sc]e"),
+    ("cecill", "cecill", r"this software is governed by the cecill(?:-[bc])? license under french law"),
+    ("ms-pl", "microsoft", r"this license governs use of the accompanying software\..{1,120}? microsoft public license"),
+    ("public-domain", "domain", r"(?:is|are|was|were|been) (?:hereby )?(?:placed|released|dedicated|put) (?:in|into|to) the public domain"),
+    ("proprietary", "proprietary", r"(?:this software|this file|this document) is (?:the )?(?:confidential and )?proprietary (?:information|property) of"),
+    ("proprietary", "prohibited", r"unauthorized copying of this file, via any medium,? is strictly prohibited"),
+)
+BETWEEN = r"[\s*#/>;|-]+"
+BODY = (90, 0.97)  # priority, confidence
 
 
 class Rules:
-    def __init__(self, families=FAMILIES, forms=FORMS):
+    def __init__(self, families=FAMILIES, forms=FORMS, bodies=BODIES):
         import ahocorasick
 
         self.rules = [(label, priority, sure, re.compile(form.format(name=f"(?:{name})", ids=ids, url=url))) for label, _, name, ids, url in families for form, priority, sure in forms]
@@ -111,6 +187,9 @@ class Rules:
                 gate = "spdx-license" if "spdx" in form else "://" if "{url}" in form else keywords if "{ids}" not in form else "licen"
                 for word in gate.split("|"):
                     gates.setdefault(word, []).append(f * len(forms) + k)
+        for label, word, sentence in bodies:
+            gates.setdefault(word, []).append(len(self.rules))
+            self.rules.append((label, *BODY, re.compile(sentence.replace(" ", BETWEEN), re.DOTALL)))
         self.automaton = ahocorasick.Automaton()
         for word, numbers in gates.items():
             self.automaton.add_word(word, numbers)
@@ -124,9 +203,15 @@ class Rules:
             active.update(numbers)
         found = [(-rule[1], m.start() - m.end(), m.start(), m.end(), rule[0], rule[2]) for n in sorted(active) for rule in (self.rules[n],) for m in rule[3].finditer(low)]
         accepted: list[tuple[int, int, str, float]] = []
+        starts: list[int] = []  # of accepted detections that no other accepted one contains, rising,
+        ends: list[int] = []  # and so are their ends
         for _, _, a, b, label, sure in sorted(found):
-            if not any(x <= a and b <= y for x, y, *_ in accepted):
-                accepted.append((a, b, label, sure))
+            at = bisect_right(starts, a)
+            if at and ends[at - 1] >= b:
+                continue
+            accepted.append((a, b, label, sure))
+            low_at, high_at = bisect_left(starts, a), bisect_right(ends, b)
+            starts[low_at : max(low_at, high_at)], ends[low_at : max(low_at, high_at)] = [a], [b]
         return sorted(accepted)
 
 
