@@ -8,11 +8,14 @@ Pre-tokens are found for a whole slice at once.  Each distinct one is encoded
 once and remembered (``MEMORY_WORDS`` at most, then forgotten and refilled), so
 the merges run only over pre-tokens that are new to the worker: all of them lie
 in one ragged array, and every pass applies, in each sequence, its lowest-ranked
-pair at all its places.
+pair at all its places.  A pre-token over ``LONG`` bytes (a run of base64, say) is
+merged by itself in the same order, but a pass touches only the places of its
+rank and their neighbours, so its time follows its length and not passes times length.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from functools import lru_cache
@@ -21,7 +24,7 @@ import numpy as np
 
 from sparkshelf.llm.ragged import U64, Texts, mix64, ragged, span_hashes
 
-MEMORY_WORDS = 1 << 20
+MEMORY_WORDS, LONG = 1 << 20, 1024
 _SLOTS = 21
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 
@@ -89,6 +92,7 @@ class Bpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made
+        self.pairs = [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in keys]
         self.forget()
 
     def forget(self) -> None:
@@ -99,7 +103,70 @@ class Bpe:
             self._remember([0], np.array([1]), np.array([self.special[1]]))
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of surviving symbols by word, and all symbols, of words encoded together."""
+        """Counts of surviving symbols by word, and all symbols, of words encoded together; words over LONG bytes one at a time."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._merge_batch(words)
+        short = [w for w in words if len(w) <= LONG]
+        counts, symbols = self._merge_batch(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        parts, out, at, k = np.append(0, np.cumsum(counts)), [], 0, set(long)
+        for i, w in enumerate(words):
+            if i in k:
+                out.append(self._merge_long(w))
+            else:
+                out.append(symbols[parts[at] : parts[at + 1]])
+                at += 1
+        return np.array([len(x) for x in out], np.int64), np.concatenate(out)
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The symbols of one word: places wait under their pair's rank, the lowest rank's merge together, and only places next to them are looked at again."""
+        symbols = self.bytes[np.frombuffer(word, np.uint8)]
+        n, none = len(symbols), len(self.keys)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n + 1, bool)
+        alive[n] = False
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            key = symbols[places] << 32 | symbols[after[places]]
+            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            known = self.keys[at] == key
+            places, rank = places[known], self.ranks[at[known]]
+            order = np.argsort(rank, kind="stable")
+            places, rank = places[order], rank[order]
+            for part in np.split(places, np.flatnonzero(np.diff(rank)) + 1) if len(places) else ():
+                r = int(rank[0])
+                rank = rank[len(part) :]
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                    waiting[r] = []
+                waiting[r].append(part)
+
+        wait(np.arange(n - 1))
+        while heap:
+            r = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            left, right = self.pairs[r]
+            places = places[alive[places]]
+            places = places[after[places] < n]
+            places = places[(symbols[places] == left) & (symbols[after[places]] == right)]
+            if not len(places):
+                continue
+            if left == right:  # of a a a, the first two merge
+                chain = np.flatnonzero(np.append(True, after[places[:-1]] != places[1:]))
+                place = np.arange(len(places)) - np.repeat(chain, np.diff(np.append(chain, len(places))))
+                places = places[place % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.made[r]
+            alive[gone] = False
+            after[places] = after[gone]
+            inner = places[after[places] < n]
+            before[after[inner]] = inner
+            wait(np.unique(np.concatenate([inner, before[places][before[places] >= 0]])))
+        return symbols[alive[:n]]
+
+    def _merge_batch(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.array([len(w) for w in words], np.int64)
         symbols = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
         rows, _ = ragged(counts)

@@ -1,7 +1,8 @@
 """Token counts (operator 10): rank-synchronous merging of batched pre-tokens (see ``bpe``).
 
 A null text is empty and has no tokens.  Repeated rows and null ids stay as they
-are; other columns are not read.  A special string inside a text counts as the
+are; other columns, whatever their names, are not read.  A very long text is counted
+whole, a very long pre-token by itself.  An empty table gives no rows.  A special string inside a text counts as the
 library counts it by default: as its one token.
 """
 
