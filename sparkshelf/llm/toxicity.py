@@ -11,14 +11,19 @@ The lexicon's weights are log-odds of labelled documents, learned from at most
 ``SAMPLE`` documents of each label (those with the least hash of their id); the
 curve is fitted on the same ones, weighed back to the counts of all labelled rows.
 Only the text enters a score.  Without labelled rows of both kinds every score is
-0.  Null and empty texts are scored as texts without hits.  Ids labelled twice
-count by their largest label.
+0.  Null and empty texts are scored as texts without hits, and so is any text
+without lexicon words; very long texts are scored whole.  Ids labelled twice count by
+their largest label; an id with several texts is learned from once, by the least of
+them; every row, repeated or with a null id, is scored.  An empty table gives no rows.
+Of tables with more columns, id and text (id and label) alone are read.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,7 @@ from sparkshelf.llm.ragged import Texts, map_slices, small_batches
 
 SAMPLE = 8000
 PREFIXES = range(3, 10)
-SUPPORT, ODDS, LEXICON = 6, 12.0, 4000
+SUPPORT, ODDS, LEXICON = 6, 12.0, 4000  # of an entry: toxic sample documents and odds, at least; and the strongest entries that are kept
 PREDICT = 0.7
 #: Phrases in which lexicon words mean no offence; fixed values, folded like texts.
 EXCEPTIONS = ("idiot proof", "idiot light", "trash can", "trash bin", "trash bag", "trash collection", "take out the trash", "clown fish", "clownfish", "class clown", "stupid simple", "keep it simple stupid", "pathetic fallacy", "sympathetic", "pond scum", "scumble")
@@ -105,7 +110,10 @@ class Lexicon:
                 spared.append((start, end))
             elif len(found.get(start, "")) < len(entry):
                 found[start] = entry
-        return [(s, w) for s, w in found.items() if not any(a <= s <= b for a, b in spared)]
+        spared.sort()
+        firsts, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        at = {s: bisect_right(firsts, s) for s in found}
+        return [(s, w) for s, w in found.items() if not at[s] or reach[at[s] - 1] < s]
 
     def features(self, text: str) -> tuple[float, float]:
         folded = fold(text)
@@ -138,7 +146,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(theta[0]), float(max(theta[1], 0.0)), float(max(theta[2], 0.0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, support: int = SUPPORT, size: int = LEXICON) -> Lexicon:
     """From labelled documents; ``labels`` (id, label) are those that may be learned from."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -148,6 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1])  # at most 2 * sample ids
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # a row per id, however often it is repeated
 
     def count(batches):
         clean, toxic = Counter(), Counter()
@@ -162,12 +171,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array(others, pa.string()), pa.array([0] * len(others), pa.int64()), pa.array([clean[e] for e in others], pa.int64())], ["entry", "toxic", "clean"])
 
     counted = texts.select("text", "label").mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    size = counted.where("entry = ''").first()
-    if size is None or not size["toxic"] or not size["clean"]:
+    seen = counted.where("entry = ''").first()
+    if seen is None or not seen["toxic"] or not seen["clean"]:
         return Lexicon({}, None)
-    odds = F.log(((F.col("toxic") + 0.5) / (size["toxic"] + 1)) / ((F.col("clean") + 0.5) / (size["clean"] + 1)))
-    # the strongest LEXICON entries come to the driver
-    best = counted.where(f"entry != '' AND toxic >= {SUPPORT}").withColumn("weight", odds).where(F.col("weight") >= float(np.log(ODDS))).orderBy(F.desc("weight"), "entry").limit(LEXICON).collect()
+    odds = F.log(((F.col("toxic") + 0.5) / (seen["toxic"] + 1)) / ((F.col("clean") + 0.5) / (seen["clean"] + 1)))
+    # the strongest entries, so many at most, come to the driver
+    best = counted.where(f"entry != '' AND toxic >= {support}").withColumn("weight", odds).where(F.col("weight") >= float(np.log(ODDS))).orderBy(F.desc("weight"), "entry").limit(size).collect()
     weights: dict[str, float] = {}
     toxic_of: dict[str, int] = {}
     for r in sorted(best, key=lambda r: len(r["entry"])):  # a longer entry only where it says more than its beginning
@@ -181,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.array([lexicon.features(t) for t in b.column("text").to_pylist()], float).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), b.column("label")], ["a", "b", "label"])
 
-    rows = texts.select("text", "label").mapInArrow(describe, "a double, b double, label int").collect()  # at most 2 * sample rows (and repeats of their ids)
+    rows = texts.select("text", "label").mapInArrow(describe, "a double, b double, label int").collect()  # at most 2 * sample rows
     x, y = np.array([[r["a"], r["b"]] for r in rows]), np.array([r["label"] for r in rows], float)
     order = np.lexsort((y, x[:, 1], x[:, 0]))  # sums in one order whatever the tasks'
     x, y = x[order], y[order]
