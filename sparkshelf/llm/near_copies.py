@@ -23,7 +23,12 @@ threshold; components of links are the groups.
 
 Null and blank texts have empty sets and link with nothing; a text with fewer
 words than a shingle is one shingle.  Null ids take part and never name a group
-that has another id.  Repeated rows are rows of one class.
+that has another id.  Repeated rows are rows of one class.  A very long text is
+worked on whole.  Pivots that tie in their hash are ordered by key, so reruns agree.
+An empty table gives no rows; other columns, whatever their names, are left alone.
+
+``SMALL_BUCKET``, ``LARGE_CLUSTER`` and ``PARTITION_ROWS`` choose between plans that
+give the same links.
 """
 
 from __future__ import annotations
@@ -448,3 +453,18 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     full = keyed.where("_key IS NOT NULL").join(winners, ["_key", "_id"], "left_semi")
     full = full.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "_id").orderBy(F.lit(0)))).where("_n = 1").drop("_n")
     return full.unionByName(empty).drop("_key", "_id").toDF(*names)
+
+
+#: The same as ``near_copies`` with its defaults, for DuckDB, by all pairs that share a shingle: for small tables.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN [w[CAST(i AS BIGINT)] || ' ' || w[CAST(i + 1 AS BIGINT)] FOR i IN range(1, len(w))] ELSE w END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+sized AS (SELECT s.doc_id, s.s, n.n FROM s JOIN n USING (doc_id)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared FROM sized a JOIN sized b ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+one AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (na + nb - shared)),
+links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL, "op8_warc_archive": archive.ARCHIVE_SQL}
+    return {"op4_near_dedup": near_copies.NEAR_SQL, "op5_mixing": mixing.MIX_SQL, "op8_warc_archive": archive.ARCHIVE_SQL}
