@@ -9,7 +9,11 @@ changed order.
 
 Texts shorter than K are one k-mer.  Null and empty texts have no k-mers: the
 empty fingerprint, like only to another one (likeness 1).  Neighbours are by
-ascending id, null ids first, ties by text.  Repeated rows stay rows.
+ascending id, null ids first, ties by text.  Repeated rows stay rows.  A very long
+text is fingerprinted whole, by blocks of hash functions.  Of equal hashes the k-mer
+that stands earlier is taken.  An empty table gives no rows; other columns, whatever
+their names, are not read.  Rows of one id stand in one range, so a table in which
+most rows share an id or have none is worked on by one task there.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ piece is packed either way, and with ``effort=None`` the result is the least num
 
 Null texts are empty; an empty document is its closing id alone.  Repeated rows
 (and copies a mix made) are packed as often as they occur.  Empty tables give no
-rows.
+rows.  A very long text is encoded whole and cut into pieces.  Pieces that tie in
+length are dealt by id, piece, start and checksum, so reruns agree.  Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -16,8 +16,15 @@ entries, are added to every scatter, so that a uniform group rejects no one for
 trifles.  Groups under ``LEAST`` rows use their language's estimate, and small
 languages that of all rows; a table under ``LEAST`` rows rejects no one.
 
+``CUTOFF`` is a distance: its square, 49, is the 1 - 7.5e-9 quantile of chi-square
+with six degrees of freedom, so that of clean documents with heavier tails than the
+normal's few go.  Each of ``STEPS`` concentration steps lowers the determinant; on
+clean groups the third changes it little.  All of these are parameters.
+
 Null texts have no words and fail the base rule, as empty ones do.  Null
-languages and sources are groups.  Repeated rows count as often as they occur.
+languages and sources are groups.  Repeated rows count as often as they occur.  A
+very long text gives one vector like any other.  An empty table has no estimates and
+gives no rows.  Other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -201,21 +208,21 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_
     return map_slices(chosen, "text", work, "doc_id long, lang string, source string, " + STATS)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, coverage: float = COVERAGE, steps: int = STEPS, least: int = LEAST) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance and kept of every row.  Rows that fail the base rule take no part in the estimates."""
     rows = cut(measured(docs, id_col, text_col, lang_col, source_col))
-    out = judged(rows, estimates(rows.where(~base_failed())), cutoff)
+    out = judged(rows, estimates(rows.where(~base_failed()), coverage, steps), cutoff, least)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("distance", 6).alias("distance"), "kept")
 
 
-def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, coverage: float = COVERAGE, steps: int = STEPS, least: int = LEAST) -> DataFrame:
     """The documents that pass, all columns as they are.
 
     Texts are not shuffled: their statistics are counted once for the estimates
     and once more beside each row that is judged.
     """
     rows = cut(measured(docs, docs.columns[0] if "doc_id" not in docs.columns else "doc_id", text_col, lang_col, source_col).drop("doc_id"))
-    found = estimates(rows.where(~base_failed()))
+    found = estimates(rows.where(~base_failed()), coverage, steps)
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = f"c{names.index(text_col)}"
@@ -227,4 +234,4 @@ def kept_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", " + STATS
     wide = plain.mapInArrow(work, shape).withColumns({"lang": F.col(f"c{names.index(lang_col)}").cast("string"), "source": F.col(f"c{names.index(source_col)}").cast("string")})
-    return judged(wide, found, cutoff).where("kept").select(*plain.columns).toDF(*names)
+    return judged(wide, found, cutoff, least).where("kept").select(*plain.columns).toDF(*names)

@@ -9,7 +9,9 @@ Rules without mandatory trigrams scan every text.  Segments are built where the
 texts are read, so nothing is shuffled and nothing depends on other segments.
 
 Null texts are empty.  Rows, repeated ones too, are kept one for one; other
-columns are not read.  Spans are code points, end exclusive, of whole matches.
+columns are not read.  Spans are code points, end exclusive, of whole matches; of
+those that begin at one place the kinds stand in the order in which they are listed.
+A very long text is a segment by itself.  An empty table gives no rows.
 """
 
 from __future__ import annotations
