@@ -153,7 +153,7 @@ def stream_late(spark, sf_dir):
     """Events, in a stream, that come after a later one of their user, in an order that ids mixed up give."""
     shuffled = streams.read(spark, f"{sf_dir}/events.parquet").withColumn("event_id", F.col("event_id") * 7919 % 1000003)
     found = streams.drain(streams.late_rows(shuffled), "append")
-    return found.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("behind", 3).alias("behind"))
+    return found.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "behind")
 
 
 QUERIES = [dense_control, dense_full_sort, fusion_twins, metric_twins, prefix_variants, oracle_statistics, oracle_by_law, granularity_samples, ids_rebuilt, token_layers, stored_index_topk, sql_functions, hygiene_lines, run_evidence, diff_added, validation_run, stream_alerts, stream_late]
@@ -190,5 +190,5 @@ SQL = {
         SELECT file, CAST(f + sum(CASE WHEN added THEN 1 ELSE 0 END) OVER (PARTITION BY name, hunk ORDER BY p ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS line, substr(value, 2) AS text FROM h QUALIFY added""",
     "validation_run": f"WITH {logs.PARSED}, {logs._FILES}, a AS (SELECT rule, 'error' AS severity FROM ({logs._records_sql()}) UNION ALL SELECT DISTINCT ON (file, rule, severity) rule, severity FROM found WHERE rule <> 'no_records') SELECT severity, rule, count(*) AS n FROM a GROUP BY ALL",
     "stream_alerts": f"SELECT CAST(user_id AS VARCHAR) AS key, CAST({THRESHOLD // 10} AS BIGINT) AS reached FROM events GROUP BY user_id HAVING count(*) >= {THRESHOLD // 10}",
-    "stream_late": "WITH m AS (SELECT event_id * 7919 % 1000003 AS event_id, user_id, ts FROM events), e AS (SELECT event_id, user_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m) SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(epoch(seen) - epoch(ts), 3) AS behind FROM e WHERE seen > ts",
+    "stream_late": "WITH m AS (SELECT event_id * 7919 % 1000003 AS event_id, user_id, ts FROM events), e AS (SELECT event_id, user_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM m) SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, epoch_us(seen) - epoch_us(ts) AS behind FROM e WHERE seen > ts",
 }

@@ -30,25 +30,23 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -
 
 
 def late_rows(events: DataFrame, allowed: str = "0 seconds") -> DataFrame:
-    """event_id, user_id, ts, behind (seconds): rows that come, in the order of ids, later than ``allowed`` after a row of their user with a greater time.
+    """event_id, user_id, ts, behind (microseconds): rows that come, in the order of ids, later than ``allowed`` after a row of their user with a greater time.
 
     The state of a user is the greatest time so far.
     """
-    grace = pd.Timedelta(allowed).total_seconds()
+    grace = pd.Timedelta(allowed) // pd.Timedelta("1us")
 
     def work(key, parts, state):
         rows = pd.concat(list(parts)).sort_values("event_id")
-        seen = rows["at"].cummax().shift(1)
-        if state.exists:
-            seen = seen.fillna(state.get[0]).clip(lower=state.get[0])
-        behind = seen - rows["at"]
-        state.update((max(float(rows["at"].max()), state.get[0] if state.exists else float("-inf")),))
-        late = behind > grace
-        yield pd.DataFrame({"event_id": rows["event_id"][late], "user_id": key[0], "at": rows["at"][late], "behind": behind[late]})
-
-    narrow = events.select("event_id", "user_id", (F.unix_micros("ts") / 1e6).alias("at"))
-    out = narrow.groupBy("user_id").applyInPandasWithState(work, "event_id long, user_id long, at double, behind double", "at double", "append", GroupStateTimeout.NoTimeout)
-    return out.select("event_id", "user_id", F.timestamp_micros(F.round(F.col("at") * 1e6).cast("long")).alias("ts"), F.round("behind", 6).alias("behind"))
+        lowest = state.get[0] if state.exists else -(1 << 62)
+        seen = rows["at"].cummax().shift(1, fill_value=lowest).clip(lower=lowest)
+        state.update((max(int(rows["at"].max()), lowest),))
+        late = seen - rows["at"] > grace
+        yield pd.DataFrame({"event_id": rows["event_id"][late], "user_id": key[0], "at": rows["at"][late], "behind": (seen - rows["at"])[late]})
+
+    narrow = events.select("event_id", "user_id", F.unix_micros("ts").alias("at"))
+    out = narrow.groupBy("user_id").applyInPandasWithState(work, "event_id long, user_id long, at long, behind long", "at long", "append", GroupStateTimeout.NoTimeout)
+    return out.select("event_id", "user_id", F.timestamp_micros("at").alias("ts"), "behind")
 
 
 def alerts(events: DataFrame, threshold: int, by: str = "event_type") -> DataFrame:
