@@ -13,7 +13,7 @@ from sparkshelf.operators import checks, eventlog, evalpack, evalset, index, met
 from sparkshelf.plans import labels, logs
 from sparkshelf.plans.retrieval import BM25, DENSE, GOLD, PAIR, RANKED, V, _docs, _gold, _items, _pack, _rankings, _vector_queries, _vectors, _measured
 from sparkshelf.plans.text import BIGRAMS, INDEX, SEGMENTS
-from sparkshelf.session import scratch, table
+from sparkshelf.session import cut, scratch, table
 from sparkshelf.sources import files
 from sparkshelf.streaming import events as streams
 
@@ -79,6 +79,25 @@ def granularity_samples(spark, sf_dir):
     return checks.samples(_articles(chunks), chunks, parts=2, shortest=100).select("law_id", "article", F.md5("text").alias("digest"), F.size("paragraphs").cast("long").alias("parts"))
 
 
+def granularity_metrics(spark, sf_dir):
+    """The items moved to articles, ranked by paragraphs rolled up to articles and by articles indexed natively; an item's own paragraph or article is left out."""
+    chunks = cut(labels._chunks(spark, sf_dir).withColumn("art", F.substring("law_id", 2, 9).cast("long") * 1000 + F.col("article").cast("long")))
+    found = cut(evalset.items(chunks))
+    moved = evalset.to_articles(found, chunks).where("reason IS NULL").select("item", F.col("gold").alias("arts"))
+    own = found.join(moved, "item").join(chunks.select(F.col("id").alias("source"), "chunk_idx", "art"), "source")
+    own = cut(own.select((F.col("chunk_idx") * 100 + F.element_at(F.split("item", "@"), 2).cast("long")).alias("item"), F.col("query").alias("text"), "chunk_idx", "art", "arts"))
+    of_law = F.substring_index(F.col("a"), "#", 1)
+    gold = own.select("item", F.explode("arts").alias("a")).select("item", (F.substring(of_law, 2, 9).cast("long") * 1000 + F.substring_index("a", "#", -1).cast("long")).alias("id"))
+    queries = own.select("item", "text")
+    by_part = sparse_blocks.rank(chunks.select(F.col("chunk_idx").alias("id"), "text"), queries, exclude=own.select("item", F.col("chunk_idx").alias("id")))
+    rolled = ranking.roll_up(by_part.select("item", "id", "rank"), chunks.select(F.col("chunk_idx").alias("id"), F.col("art").alias("parent")))
+    articles = _articles(chunks).select((F.substring("law_id", 2, 9).cast("long") * 1000 + F.col("article").cast("long")).alias("id"), "text")
+    native = sparse_blocks.rank(articles, queries, exclude=own.select("item", F.col("art").alias("id")))
+    both = rolled.select(F.lit("paragraph").alias("granularity"), "item", "id", "rank").unionByName(native.select(F.lit("article").alias("granularity"), "item", "id", "rank"))
+    items = own.select("item").crossJoin(F.broadcast(spark.createDataFrame([("paragraph",), ("article",)], "granularity string")))
+    return metrics.means(metrics.per_item(both, gold, items, ("granularity",)), "granularity").select("granularity", "n", "recall_10", "hit_10", "mrr")
+
+
 def ids_rebuilt(spark, sf_dir):
     chunks = labels._chunks(spark, sf_dir).select(F.substring("law_id", 2, 9).cast("long").alias("law"), "article", "paragraph")
     laws = chunks.select("law").distinct().select("law", F.concat(F.lit("L"), "law").alias("law_id"))
@@ -156,7 +175,17 @@ def stream_late(spark, sf_dir):
     return found.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "behind")
 
 
-QUERIES = [dense_control, dense_full_sort, fusion_twins, metric_twins, prefix_variants, oracle_statistics, oracle_by_law, granularity_samples, ids_rebuilt, token_layers, stored_index_topk, sql_functions, hygiene_lines, run_evidence, diff_added, validation_run, stream_alerts, stream_late]
+QUERIES = [dense_control, dense_full_sort, fusion_twins, metric_twins, prefix_variants, oracle_statistics, oracle_by_law, granularity_samples, granularity_metrics, ids_rebuilt, token_layers, stored_index_topk, sql_functions, hygiene_lines, run_evidence, diff_added, validation_run, stream_alerts, stream_late]
+
+
+
+def _bm25_sql(name: str, docs: str, queries: str, barred: str) -> str:
+    """CTE ``name`` (item, id, rank): BM25 of a query table (item, text) over a table of docs (id, text), without the pairs (item, id) of ``barred``."""
+    return f"""{name}_t AS (SELECT id, {BIGRAMS} AS b FROM (SELECT id, {SEGMENTS} AS seg FROM {docs})), {name}_p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(b) AS term FROM {name}_t) GROUP BY ALL), {name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
+{name}_l AS (SELECT id, len(b) AS dl FROM {name}_t), {name}_n AS (SELECT count(*) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS avgdl FROM {name}_l), {name}_q AS (SELECT DISTINCT item, unnest({BIGRAMS}) AS term FROM (SELECT item, {SEGMENTS} AS seg FROM {queries})),
+{name}_s AS (SELECT item, p.id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score FROM {name}_q JOIN {name}_p p USING (term) JOIN {name}_d USING (term) JOIN {name}_l l ON l.id = p.id, {name}_n GROUP BY ALL HAVING score > 0),
+{name} AS (SELECT item, id, row_number() OVER (PARTITION BY item ORDER BY score DESC, id) AS rank FROM {name}_s ANTI JOIN {barred} USING (item, id) QUALIFY rank <= 50)"""
+
 
 _PLAIN = "regexp_replace(output, '\\x1b\\[[0-9;]*[A-Za-z]', '', 'g')"
 SQL = {
@@ -177,6 +206,15 @@ SQL = {
     "oracle_by_law": f"WITH {labels.DERIVED} SELECT law_id, count(*) AS n FROM items GROUP BY law_id",
     "granularity_samples": f"""WITH {labels.CHUNKS}, a AS (SELECT law_id, article, string_agg(text, '' ORDER BY chunk_idx) AS text, count(*) AS parts, min(chunk_idx) AS first FROM chunks GROUP BY ALL)
         SELECT law_id, article, md5(text) AS digest, parts FROM a WHERE parts >= 2 AND length(text) > 100 AND length(text) < 900 ORDER BY first LIMIT 6""",
+    "granularity_metrics": f"""WITH {labels.DERIVED}, gart AS (SELECT id, law_id, article, chunk_idx, CAST(substr(law_id, 2) AS BIGINT) * 1000 + CAST(article AS BIGINT) AS art, text FROM chunks),
+        gg AS (SELECT i.item, i.query, s.chunk_idx * 100 + CAST(split_part(i.item, '@', 2) AS BIGINT) AS num, s.chunk_idx, s.art, list_distinct(list(g.art)) AS arts FROM (SELECT item, source, query, unnest(gold) AS gid FROM items) i JOIN gart g ON g.id = i.gid JOIN gart s ON s.id = i.source GROUP BY ALL),
+        own AS (SELECT num AS item, query AS text, chunk_idx, art, arts FROM gg WHERE NOT list_contains(arts, art)), gold AS (SELECT item, unnest(arts) AS id FROM own),
+        dp AS (SELECT chunk_idx AS id, text FROM gart), da AS (SELECT art AS id, string_agg(text, '' ORDER BY chunk_idx) AS text FROM gart GROUP BY art), bp AS (SELECT item, chunk_idx AS id FROM own), ba AS (SELECT item, art AS id FROM own),
+        {_bm25_sql('rp', 'dp', 'own', 'bp')}, {_bm25_sql('ra', 'da', 'own', 'ba')},
+        rolled AS (SELECT item, art AS id, row_number() OVER (PARTITION BY item ORDER BY r, art) AS rank FROM (SELECT item, art, min(rank) AS r FROM rp JOIN gart ON gart.chunk_idx = rp.id GROUP BY ALL)),
+        rr AS (SELECT 'paragraph' AS granularity, item, id, rank FROM rolled UNION ALL SELECT 'article', item, id, rank FROM ra),
+        {_measured('rr', "SELECT item, granularity FROM own, (SELECT unnest(['paragraph', 'article']) AS granularity)", 'granularity,')}
+        SELECT granularity, count(*) AS n, round(avg(recall_10), 9) AS recall_10, round(avg(hit_10), 9) AS hit_10, round(avg(rr), 9) AS mrr FROM per_item GROUP BY granularity""",
     "ids_rebuilt": f"WITH {labels.CHUNKS} SELECT CAST(substr(law_id, 2) AS BIGINT) AS law, article, paragraph, id FROM chunks",
     "token_layers": f"WITH {INDEX} SELECT id AS doc_id, CAST(len(b) AS BIGINT) AS tokens, CAST(len(list_distinct(b)) AS BIGINT) AS distinct, CAST(len(b) AS BIGINT) AS tokens_arrays, CAST(len(list_distinct(b)) AS BIGINT) AS distinct_arrays FROM toks",
     "stored_index_topk": f"WITH {BM25} SELECT item, id AS doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, id) AS rank FROM sparse QUALIFY rank <= 10",

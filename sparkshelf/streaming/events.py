@@ -88,6 +88,7 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
 
+    keep(stream.sparkSession.createDataFrame([], stream.schema), -1)  # a stream without rows gives a table without rows
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     found = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
