@@ -4,29 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def encode(numbers: Iterable[int]) -> bytes:
-    out = bytearray()
-    for n in numbers:
-        while n > 127:
-            out.append(n & 127 | 128)
-            n >>= 7
-        out.append(n)
-    return bytes(out)
+def encode(numbers: Iterable[int] | np.ndarray) -> bytes:
+    n = np.asarray(numbers if isinstance(numbers, np.ndarray) else list(numbers), np.uint64)
+    if not len(n):
+        return b""
+    sizes = np.ones(len(n), np.int64)
+    for k in range(1, 10):
+        sizes += n >= np.uint64(1) << np.uint64(7 * k)
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k in range(int(sizes.max())):
+        here = sizes > k
+        more = (sizes[here] > k + 1).astype(np.uint8) << 7
+        out[(ends - sizes)[here] + k] = (n[here] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8) | more
+    return out.tobytes()
 
 
 def decode(data: bytes) -> list[int]:
-    out, n, shift = [], 0, 0
-    for byte in data:
-        n |= (byte & 127) << shift
-        shift += 7
-        if byte < 128:
-            out.append(n)
-            n = shift = 0
-    return out
+    return _numbers(data).tolist()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    starts = np.append(0, np.flatnonzero(raw < 128)[:-1] + 1)
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * place, starts)
 
 
 def pack(postings: DataFrame, block: int = 4096) -> DataFrame:
@@ -36,12 +45,11 @@ def pack(postings: DataFrame, block: int = 4096) -> DataFrame:
     """
 
     def work(key, table):
-        rows = sorted(zip(table.column("id").to_pylist(), table.column("tf").to_pylist(), strict=True))
-        last, numbers = key[1].as_py() * block, []
-        for i, tf in rows:
-            numbers += [i - last, tf]
-            last = i
-        return pa.table({"term": [key[0].as_py()], "block": [key[1].as_py()], "postings": pa.array([len(rows)], pa.int64()), "packed": pa.array([encode(numbers)], pa.binary())})
+        ids, tfs = np.asarray(table.column("id")), np.asarray(table.column("tf"))
+        order = np.lexsort((tfs, ids))
+        gaps = np.diff(ids[order], prepend=key[1].as_py() * block)
+        numbers = np.column_stack([gaps, tfs[order]]).reshape(-1)
+        return pa.table({"term": [key[0].as_py()], "block": [key[1].as_py()], "postings": pa.array([len(ids)], pa.int64()), "packed": pa.array([encode(numbers)], pa.binary())})
 
     blocks = postings.where("id >= 0").selectExpr("term", f"CAST(id DIV {block} AS long) AS block", "CAST(id AS long) id", "CAST(tf AS long) tf")
     return blocks.groupBy("term", "block").applyInArrow(work, "term string, block long, postings long, packed binary")
@@ -52,14 +60,11 @@ def unpack(packed: DataFrame, block: int = 4096) -> DataFrame:
 
     def work(batches):
         for b in batches:
-            terms, ids, tfs = [], [], []
-            for term, k, data in zip(b.column("term").to_pylist(), b.column("block").to_pylist(), b.column("packed").to_pylist(), strict=True):
-                numbers, last = decode(data), k * block
-                for gap, tf in zip(numbers[::2], numbers[1::2], strict=True):
-                    last += gap
-                    terms.append(term)
-                    ids.append(last)
-                    tfs.append(tf)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int64())], ["term", "id", "tf"])
+            if not b.num_rows:
+                continue
+            numbers = [_numbers(data) for data in b.column("packed").to_pylist()]
+            ids = [k * block + np.cumsum(x[::2]) for k, x in zip(b.column("block").to_pylist(), numbers, strict=True)]
+            terms = b.column("term").take(pa.array(np.repeat(np.arange(len(ids)), [len(x) for x in ids])))
+            yield pa.RecordBatch.from_arrays([terms, pa.array(np.concatenate(ids)), pa.array(np.concatenate([x[1::2] for x in numbers]))], ["term", "id", "tf"])
 
     return packed.select("term", "block", "packed").mapInArrow(work, "term string, id long, tf long")

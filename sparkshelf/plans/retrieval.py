@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkshelf.functions import text as T
 from sparkshelf.operators import evalpack, metrics, quantise, ranking, sparse_blocks
+from sparkshelf.operators.numbering import numbered
 from sparkshelf.plans.text import BIGRAMS, INDEX, SEGMENTS
 from sparkshelf.session import cut, scratch, table
 
@@ -199,13 +200,10 @@ def set_agreement(spark, sf_dir):
 
 
 def stride_sample(spark, sf_dir, want: int = 100):
-    """Every n-th document in id order, ``want`` at most; places come from counts by block of ids."""
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    blocks = docs.groupBy(F.floor(F.col("doc_id") / 1000).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    before = blocks.withColumn("o", F.coalesce(F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = blocks.agg(F.greatest(F.floor(F.sum("c") / want), F.lit(1)).alias("step"))
-    placed = docs.withColumn("b", F.floor(F.col("doc_id") / 1000)).withColumn("p", F.row_number().over(Window.partitionBy("b").orderBy("doc_id")) - 1).join(before.select("b", "o"), "b")
-    return placed.crossJoin(F.broadcast(total)).withColumn("idx", (F.col("o") + F.col("p")).cast("long")).where(f"idx % step = 0 AND idx / step < {want}").select("doc_id", "idx")
+    """Every n-th document in id order, ``want`` at most."""
+    placed = cut(numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", name="idx"))
+    step = max(1, placed.count() // want)
+    return placed.where((F.col("idx") % step == 0) & (F.col("idx") < step * want))
 
 
 def review_flags(spark, sf_dir):

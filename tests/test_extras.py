@@ -78,3 +78,20 @@ def test_stream_windows_equal_a_batch(spark, tmp_path):
     got = events.drain(events.windowed(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)))
     batch = spark.read.parquet(path).groupBy(F.date_trunc("day", "ts").alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_places_and_quantiles_over_ranges(spark):
+    import random
+
+    from sparkshelf.operators.numbering import numbered, quantiles
+
+    random.seed(7)
+    values = [random.randint(0, 60) for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v long").repartition(4)
+    got = sorted((r.place, r.v, r.i) for r in numbered(df, "v", "i").collect())
+    assert got == [(k, v, i) for k, (v, i) in enumerate(sorted((v, i) for i, v in enumerate(values)))]
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    want = {n: sorted(values)[min(int(500 * s), 499)] for n, s in shares.items()}
+    assert quantiles(df, "v", shares).first().asDict() == want
+    assert tuple(quantiles(df.where("v < 0"), "v", shares).first()) == (None,) * 5
+    assert numbered(df.where("v < 0"), "v").count() == 0
