@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: tuple[int, int] =
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: tuple[int, int] = SHARE, cap: int = CAP, ramps: tuple = RAMPS, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, positions (one per draw) of every row, in order of the first position.
 
-    ``keep``: further columns of ``docs`` to carry, as ``_keep`` (a struct).
+    ``keep``: further columns of ``docs`` to carry, as ``_keep`` (a struct); rows are not sorted then.
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(
@@ -99,6 +99,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draws = F.when(F.col("size") > 0, F.col("_epochs")).otherwise(F.lit(0)) + (F.col("_part") > 0).cast("long")
     positions = F.when(draws > 0, F.transform(F.sequence(F.lit(0).cast("long"), draws - 1), position)).otherwise(F.array().cast("array<double>"))
     out = placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), positions.alias("positions"), F.col("_part").alias("part"), *(["_keep"] if keep else []))
+    if keep:  # with the columns carried along, one sort by draw is enough
+        return out
     return out.orderBy(F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)), "source", "doc_id")
 
 
