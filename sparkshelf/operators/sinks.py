@@ -20,7 +20,11 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
 def write_vectors(df: DataFrame, path: str, dims: int) -> int:
     """Vectors (id, v); any other number of dimensions is an error."""
     right = F.assert_true(F.size("v") == dims, F.lit(f"a vector has not {dims} dimensions"))
-    return write_table(df.where(right.isNull()), path)
+    n = write_table(df.where(right.isNull()), path)
+    held = df.sparkSession.read.parquet(path).agg(F.sum(F.size("v")).alias("n")).first()["n"]
+    if held != n * dims:
+        raise ValueError(f"{held} numbers were written for {n} vectors of {dims}")
+    return n
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -46,11 +50,20 @@ def review_sheet(items: DataFrame, path: str, columns: tuple[str, ...]) -> None:
     items.select(text.alias("value")).write.text(path)
 
 
-def sizes(spark: SparkSession, path: str, stages: dict[str, str]) -> DataFrame:
-    """Bytes of the files under ``path`` by stage; ``stages``: stage -> regex on the file's path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+def sizes(spark: SparkSession, path: str, stages: dict[str, str], gzipped: bool = False) -> DataFrame:
+    """Bytes of the files under ``path`` by stage; ``stages``: stage -> regex on the file's path; ``gzipped``: their bytes after gzip too."""
+    import gzip
+
+    import pyarrow as pa
+
+    def packed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array([len(gzip.compress(x.as_py())) for x in b.column("content")], pa.int64())], ["path", "length", "gz"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.select("path", "length", "content").mapInArrow(packed, "path string, length long, gz long") if gzipped else files.select("path", "length")
     stage = F.coalesce(*[F.when(F.col("path").rlike(regex), F.lit(name)) for name, regex in stages.items()], F.lit("other"))
-    return files.groupBy(stage.alias("stage")).agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    return files.groupBy(stage.alias("stage")).agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"), *([F.sum("gz").alias("gzip_bytes")] if gzipped else []))
 
 
 def write_codes(coded: DataFrame, fitted: DataFrame, path: str) -> int:

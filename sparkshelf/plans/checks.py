@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from sparkshelf.functions import registered
 from sparkshelf.functions import text as T
+from sparkshelf.functions.numerals import NUMERAL
 from sparkshelf.operators import checks, eventlog, evalpack, evalset, index, metrics, ranking, sparse_blocks
 from sparkshelf.plans import labels, logs
-from sparkshelf.plans.retrieval import BM25, DENSE, GOLD, PAIR, RANKED, V, _docs, _gold, _items, _pack, _rankings, _vector_queries, _vectors, _measured
+from sparkshelf.plans.retrieval import BM25, DENSE, GOLD, PAIR, MEANS, METHODS, RANKED, V, _docs, _gold, _items, _pack, _rankings, _vector_queries, _vectors, _measured
 from sparkshelf.plans.text import BIGRAMS, INDEX, SEGMENTS
 from sparkshelf.session import cut, scratch, table
-from sparkshelf.sources import files
+from sparkshelf.sources import files, statutes
 from sparkshelf.streaming import events as streams
 
 PREFIXES = {"plain": "", "query": "query: ", "passage": "passage: "}
@@ -104,6 +105,29 @@ def ids_rebuilt(spark, sf_dir):
     return checks.rebuilt_ids(chunks, laws)
 
 
+def ids_decomposed(spark, sf_dir):
+    return labels._chunks(spark, sf_dir).select("id", statutes.address(F.col("id")).alias("a")).select("id", "a.*")
+
+
+def oracle_flags(spark, sf_dir):
+    """Reviewers' flags of all derived items, and of twins of them with a leak, a lost and an own gold and a bare query."""
+    chunks = labels._chunks(spark, sf_dir)
+    found = cut(evalset.items(chunks).select("item", "source", "query", "gold"))
+    spoiled = found.select(F.concat("item", F.lit("x")).alias("item"), "source", F.concat(F.substring("query", 1, 9), F.lit("第三条、。（）")).alias("query"), F.array(F.lit("none"), F.col("source")).alias("gold"))
+    return evalset.flags(found.unionByName(spoiled), chunks)
+
+
+def metrics_rolled_up(spark, sf_dir):
+    """All methods at all cuts, with rankings and gold rolled up from documents to their sources."""
+    both = _rankings(spark, sf_dir)
+    parent = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("parent"))
+    fused = ranking.fuse(both).select(F.lit("hybrid").alias("method"), "item", "id", "rank")
+    rolled = ranking.roll_up(both.unionByName(fused), parent, ("method", "item"))
+    gold = _gold(spark, sf_dir).join(parent, "id").select("item", F.col("parent").alias("id")).distinct()
+    items = _items(spark, sf_dir).select("item").crossJoin(F.broadcast(spark.createDataFrame([(m,) for m in (*PAIR, "hybrid")], "method string")))
+    return metrics.means(metrics.per_item(rolled, gold, items, ("method",)), "method")
+
+
 def token_layers(spark, sf_dir):
     """Tokens and distinct tokens of each document by expressions and by arrays of code points."""
 
@@ -122,7 +146,8 @@ def stored_index_topk(spark, sf_dir):
     """bm25_topk from an index that was stored in packed form."""
     path = f"{scratch(spark)}/index"
     index.store(index.build(table(spark, sf_dir, "documents"), "doc_id"), path)
-    return ranking.bm25(index.stored(spark, path), _items(spark, sf_dir), 10).select("item", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    terms = [r.t for r in _items(spark, sf_dir).select(F.explode(T.bigrams("text")).alias("t")).distinct().collect()]  # of a stated query set
+    return ranking.bm25(index.stored(spark, path, terms), _items(spark, sf_dir), 10).select("item", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def sql_functions(spark, sf_dir):
@@ -175,7 +200,7 @@ def stream_late(spark, sf_dir):
     return found.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "behind")
 
 
-QUERIES = [dense_control, dense_full_sort, fusion_twins, metric_twins, prefix_variants, oracle_statistics, oracle_by_law, granularity_samples, granularity_metrics, ids_rebuilt, token_layers, stored_index_topk, sql_functions, hygiene_lines, run_evidence, diff_added, validation_run, stream_alerts, stream_late]
+QUERIES = [dense_control, dense_full_sort, fusion_twins, metric_twins, prefix_variants, oracle_statistics, oracle_by_law, granularity_samples, granularity_metrics, ids_rebuilt, ids_decomposed, oracle_flags, metrics_rolled_up, token_layers, stored_index_topk, sql_functions, hygiene_lines, run_evidence, diff_added, validation_run, stream_alerts, stream_late]
 
 
 
@@ -216,6 +241,12 @@ SQL = {
         {_measured('rr', "SELECT item, granularity FROM own, (SELECT unnest(['paragraph', 'article']) AS granularity)", 'granularity,')}
         SELECT granularity, count(*) AS n, round(avg(recall_10), 9) AS recall_10, round(avg(hit_10), 9) AS hit_10, round(avg(rr), 9) AS mrr FROM per_item GROUP BY granularity""",
     "ids_rebuilt": f"WITH {labels.CHUNKS} SELECT CAST(substr(law_id, 2) AS BIGINT) AS law, article, paragraph, id FROM chunks",
+    "ids_decomposed": f"WITH {labels.CHUNKS} SELECT id, law_id, article, paragraph FROM chunks",
+    "oracle_flags": f"""WITH {labels.DERIVED}, o AS (SELECT item, source, query, gold FROM items UNION ALL SELECT item || 'x', source, substr(query, 1, 9) || '第三条、。（）', ['none', source] FROM items), lost AS (SELECT item, count(*) AS lost FROM (SELECT item, unnest(gold) AS g FROM o) WHERE g NOT IN (SELECT id FROM chunks) GROUP BY item)
+        SELECT o.item, concat_ws(',', CASE WHEN regexp_matches(query, '第{NUMERAL}条') THEN 'mask_leak' END, CASE WHEN len(gold) >= 5 THEN 'gold_many' END, CASE WHEN length(query) > 200 THEN 'long' END, CASE WHEN list_contains(gold, source) THEN 'gold_is_source' END,
+            CASE WHEN lost > 0 THEN 'gold_missing' END, CASE WHEN length(regexp_replace(query, '[、。「」（）()]', '', 'g')) < 20 THEN 'bare' END) AS flags FROM o LEFT JOIN lost USING (item)""",
+    "metrics_rolled_up": f"""WITH {RANKED.replace("gold AS", "gold0 AS")}, gold AS (SELECT DISTINCT item, source AS id FROM gold0 JOIN documents ON doc_id = id), rolled AS (SELECT method, item, source AS id, row_number() OVER (PARTITION BY method, item ORDER BY r, source) AS rank FROM (SELECT method, item, source, min(rank) AS r FROM allm JOIN documents ON doc_id = id GROUP BY ALL)),
+        {_measured('rolled', METHODS, 'method,')} SELECT method, count(*) AS n, {MEANS} FROM per_item GROUP BY method""",
     "token_layers": f"WITH {INDEX} SELECT id AS doc_id, CAST(len(b) AS BIGINT) AS tokens, CAST(len(list_distinct(b)) AS BIGINT) AS distinct, CAST(len(b) AS BIGINT) AS tokens_arrays, CAST(len(list_distinct(b)) AS BIGINT) AS distinct_arrays FROM toks",
     "stored_index_topk": f"WITH {BM25} SELECT item, id AS doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, id) AS rank FROM sparse QUALIFY rank <= 10",
     "sql_functions": f"""WITH {INDEX} SELECT t.id AS doc_id, CAST(len(seg) AS BIGINT) AS n_segments, CAST(len(b) AS BIGINT) AS tokens, CAST(len(list_distinct(b)) AS BIGINT) AS distinct_bigrams, CAST(coalesce(list_sum([length(g) FOR g IN seg]), 0) AS BIGINT) AS substantive, CAST(length(regexp_replace(text, '[{T.SPACE}]+', '', 'g')) AS BIGINT) AS n_chars,

@@ -126,6 +126,12 @@ def chunks(rows: DataFrame, granularity: str = "paragraph") -> DataFrame:
     return main.select(chunk_id.alias("id"), "law_id", "title", "article", "paragraph", "label", "caption", "chapter", "section", "text", F.concat(F.when(F.col("caption") != "", F.concat("caption", F.lit("　"))).otherwise(""), F.col("text")).alias("index_text"))
 
 
+def address(chunk_id: Column) -> Column:
+    """(law_id, article, paragraph) of a chunk's id; an article may hold underscores, not hyphens."""
+    law, rest = F.substring_index(chunk_id, "#", 1), F.substring_index(chunk_id, "#", -1)
+    return F.struct(law.alias("law_id"), F.substring_index(rest, "-", 1).alias("article"), F.substring_index(rest, "-", -1).alias("paragraph"))
+
+
 def generated(parts: DataFrame) -> DataFrame:
     """Statute-like chunks from the part table (p_partkey, p_name, p_type), for queries that need citations."""
     k = F.col("p_partkey")
