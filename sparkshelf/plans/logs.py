@@ -161,7 +161,7 @@ def _records_sql() -> str:
     return "\nUNION ALL ".join(parts)
 
 
-_LAST = lambda event, x: f"arg_max({x}, file || lpad(CAST(line AS VARCHAR), 9, '0')) FILTER (event = '{event}')"
+_LAST = lambda event, x: f"arg_max_null({x}, file || lpad(CAST(line AS VARCHAR), 9, '0')) FILTER (event = '{event}')"
 _LOOPS = f"""SELECT project, loop_id, {_LAST("loop_start", "ts")} AS started_at, {_LAST("loop_end", "ts")} AS ended_at, {", ".join(f"{_LAST('loop_start', _get(f))} AS {f}" for f in ("goal", "scaffold_version", "agent"))}, {_LAST("loop_end", _get("outcome"))} AS outcome,
     count(*) FILTER (event = 'failure') AS n_failures, count(*) FILTER (event = 'commit') AS n_commits, count(*) FILTER (event = 'test_run') AS n_test_runs, {", ".join(f"{_LAST('test_run', _get(f))} AS last_tests_{f}" for f in ("passed", "failed"))} FROM held GROUP BY project, loop_id"""
 _FAILS = f"SELECT file, line, ts, project, loop_id, {', '.join(f'{_get(f)} AS {f}' for f in ('code', 'severity', 'detected_stage', 'introduced_stage', 'summary', 'resolution', 'harness_ref'))} FROM held WHERE event = 'failure'"
