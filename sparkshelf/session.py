@@ -63,5 +63,8 @@ def scratch(spark: SparkSession, kind: str = "made") -> str:
     return path
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, dealt out anew only where its files give fewer tasks than there are cores (one small file, say)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
