@@ -32,17 +32,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 day") -
 def late_rows(events: DataFrame, allowed: str = "0 seconds") -> DataFrame:
     """event_id, user_id, ts, behind (microseconds): rows that come, in the order of ids, later than ``allowed`` after a row of their user with a greater time.
 
-    The state of a user is the greatest time so far.
+    The state of a user is the greatest time so far.  Of equal ids of a user the earlier time comes first, whatever the order in
+    which a shuffle brings them; a row without a time is never late and leaves the state as it is.
     """
     grace = pd.Timedelta(allowed) // pd.Timedelta("1us")
 
     def work(key, parts, state):
-        rows = pd.concat(list(parts)).sort_values("event_id")
+        rows = pd.concat(list(parts)).sort_values(["event_id", "at"]).reset_index(drop=True)
         lowest = state.get[0] if state.exists else -(1 << 62)
-        seen = rows["at"].cummax().shift(1, fill_value=lowest).clip(lower=lowest)
-        state.update((max(int(rows["at"].max()), lowest),))
+        greatest = rows["at"].fillna(lowest).astype("int64").cummax().clip(lower=lowest)
+        seen = greatest.shift(1, fill_value=lowest)
+        state.update((int(greatest.iloc[-1]),))
         late = seen - rows["at"] > grace
-        yield pd.DataFrame({"event_id": rows["event_id"][late], "user_id": key[0], "at": rows["at"][late], "behind": (seen - rows["at"])[late]})
+        at = rows["at"][late].astype("int64")
+        yield pd.DataFrame({"event_id": rows["event_id"][late], "user_id": key[0], "at": at, "behind": seen[late] - at})
 
     narrow = events.select("event_id", "user_id", F.unix_micros("ts").alias("at"))
     out = narrow.groupBy("user_id").applyInPandasWithState(work, "event_id long, user_id long, at long, behind long", "at long", "append", GroupStateTimeout.NoTimeout)

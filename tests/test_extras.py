@@ -80,6 +80,20 @@ def test_stream_windows_equal_a_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_late_rows_with_equal_ids_and_without_times(spark, tmp_path, turned):
+    """Equal ids of a user go by time, in whatever order they stand in the file; a row without a time hides no late row."""
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    rows = [(5, at(1), 7), (5, at(9), 7), (5, at(4), 7), (6, None, 7), (8, at(3), 7), (1, None, 8), (2, at(2), 8)]
+    schema = "event_id long, ts timestamp, user_id long"
+    spark.createDataFrame(rows[::-1] if turned else rows, schema).coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "e.parquet"))
+    got = events.drain(events.late_rows(stream), "append").select("event_id", "user_id", "behind").collect()
+    assert [tuple(r) for r in got] == [(8, 7, 6 * 60 * 1_000_000)]
+
+
 def test_places_and_quantiles_over_ranges(spark):
     import random
 
