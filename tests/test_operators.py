@@ -283,3 +283,32 @@ def test_taxonomy_file(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"categories": {"C": "all c"}, "codes": {"C-1": {"category": "C", "name": "n", "definition": "d"}}, "resolutions": ["retry"], "severities": {"S1": "bad"}}))
     got = {(r.kind, r.code, r.category_name, r.definition) for r in eventlog.read_taxonomy(spark, str(tmp_path / "t.json")).collect()}
     assert got == {("code", "C-1", "all c", "d"), ("severity", "S1", None, "bad"), ("resolution", "retry", None, None)}
+
+
+@pytest.mark.parametrize("bounds", [{}, {"CELLS": 300, "TERMS": 8, "QUERIES": 100, "MANY": 3}])
+def test_many_queries_by_profiles_rank_as_by_blocks(spark, monkeypatch, bounds):
+    """Frequent terms by profile and rare ones by pairs give the rows of one product, barred ids left out; empty texts, ties and odd ids too."""
+    import random
+
+    from sparkshelf.operators import sparse_blocks, sparse_profiles
+
+    for name, value in bounds.items():
+        monkeypatch.setattr(sparse_profiles, name, value)
+    random.seed(3)
+    text = lambda: f"the {random.choice(['red', 'blue', 'old'])} {random.choice(['ring', 'bolt'])} {random.choice('abcdefgh')}{random.choice('uvwxyz')}{random.choice('jklm')}"
+    rows = [(i * 7 - 100, text()) for i in range(150)] + [(5000, None), (5001, ""), (5002, "the"), (None, "the ring")]
+    asked = [(i, text() if i % 50 else "", None if i % 3 else random.choice(rows)[0]) for i in range(230)]
+    docs, queries = spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(asked, "item long, text string, own long")
+    barred = queries.where("own IS NOT NULL").select("item", F.col("own").alias("id"))
+    want = sorted(map(tuple, sparse_blocks.rank(docs, queries, 7, exclude=barred).select("item", "id", "score", "rank").collect()))
+    assert sorted(map(tuple, sparse_profiles.rank(docs, queries, 7).select("item", "id", "score", "rank").collect())) == want
+    assert sparse_profiles.rank(docs, queries.limit(0), 7).count() == 0
+
+
+def test_portions_of_pairs_end_between_rows(monkeypatch):
+    from sparkshelf.operators import sparse_profiles
+
+    monkeypatch.setattr(sparse_profiles, "HELD", 4)
+    row, times = np.array([0, 0, 1, 1, 1, 3, 4]), np.array([1, 2, 1, 1, 2, 0, 3])
+    parts = list(sparse_profiles._portions(row, np.arange(7) + 10, times))
+    assert [p.tolist() for p in parts] == [[10, 11, 12, 13, 14], [15, 16]]
