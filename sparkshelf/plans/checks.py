@@ -144,9 +144,8 @@ def token_layers(spark, sf_dir):
 def stored_index_topk(spark, sf_dir):
     """bm25_topk from an index that was stored in packed form."""
     path = f"{scratch(spark)}/index"
-    index.store(index.build(table(spark, sf_dir, "documents"), "doc_id"), path)
-    terms = [r.t for r in _items(spark, sf_dir).select(F.explode(T.bigrams("text")).alias("t")).distinct().collect()]  # of a stated query set
-    return ranking.bm25(index.stored(spark, path, terms), _items(spark, sf_dir), 10).select("item", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+    index.store_texts(table(spark, sf_dir, "documents"), path, "doc_id")
+    return ranking.bm25_stored(spark, path, _items(spark, sf_dir), 10).select("item", F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 
 def sql_functions(spark, sf_dir):

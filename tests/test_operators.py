@@ -312,3 +312,24 @@ def test_portions_of_pairs_end_between_rows(monkeypatch):
     row, times = np.array([0, 0, 1, 1, 1, 3, 4]), np.array([1, 2, 1, 1, 2, 0, 3])
     parts = list(sparse_profiles._portions(row, np.arange(7) + 10, times))
     assert [p.tolist() for p in parts] == [[10, 11, 12, 13, 14], [15, 16]]
+
+
+def test_texts_packed_within_tasks_give_the_packed_index(spark, tmp_path):
+    """Pieces of tasks are joined to the blocks that a shuffle of postings gives, and rank as the index does: blocks of several tasks, ids twice, negative ones, texts without terms."""
+    import random
+
+    from sparkshelf.operators import codec
+
+    random.seed(5)
+    text = lambda: " ".join("".join(random.choices("abcdü法", k=random.randint(1, 4))) for _ in range(random.randint(0, 9)))
+    rows = [(random.randrange(3) * 4096 + i, text()) for i in range(90)] + [(7, "abab ab"), (7, "ab a"), (9000, None), (9001, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    want = {(r.term, r.block): (r.postings, bytes(r.packed)) for r in codec.pack(index.build(docs).postings).collect()}
+    for held in (1 << 22, 40):
+        assert {(r.term, r.block): (r.postings, bytes(r.packed)) for r in codec.pack_texts(docs, held=held).collect()} == want
+    docs = docs.unionByName(spark.createDataFrame([(-5, "abc法 d"), (-4097, "dd ab")], docs.schema))
+    asked = spark.createDataFrame([(i, text()) for i in range(9)] + [(20, None), (21, "ab ab")], "item long, text string")
+    index.store_texts(docs, str(tmp_path / "i"))
+    ranked = sorted(map(tuple, ranking.bm25(index.build(docs), asked, 6).select("item", "id", "score", "rank").collect()))
+    for group in (2048, 4):
+        assert sorted(map(tuple, ranking.bm25_stored(spark, str(tmp_path / "i"), asked, 6, group=group).select("item", "id", "score", "rank").collect())) == ranked
