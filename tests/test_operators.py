@@ -305,6 +305,24 @@ def test_many_queries_by_profiles_rank_as_by_blocks(spark, monkeypatch, bounds):
     assert sparse_profiles.rank(docs, queries.limit(0), 7).count() == 0
 
 
+def test_texts_of_many_items_are_ranked_once_and_leave_nothing_on_the_driver(spark, monkeypatch):
+    """Items of one text bar a document each; the groups' tables and broadcasts are not part of the answer's plan."""
+    from sparkshelf.operators import sparse_blocks, sparse_profiles
+
+    groups, ranked = [], sparse_profiles._ranked
+    monkeypatch.setattr(sparse_profiles, "QUERIES", 2)
+    monkeypatch.setattr(sparse_profiles, "_ranked", lambda docs, asked, *rest: groups.append(len(asked)) or ranked(docs, asked, *rest))
+    docs = spark.createDataFrame([(i, f"the {'red' if i % 2 else 'blue'} ring {'xy'[i // 12]}") for i in range(24)], "id long, text string")
+    texts = ["red ring x", "the blue ring", None]
+    queries = spark.createDataFrame([(i, texts[i % 3], i if i % 4 else None) for i in range(24)], "item long, text string, own long")
+    found = sparse_profiles.rank(docs, queries, 5).select("item", "id", "score", "rank")
+    assert groups == [2, 1]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "strategy=broadcast" not in plan
+    barred = queries.where("own IS NOT NULL").select("item", F.col("own").alias("id"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, sparse_blocks.rank(docs, queries, 5, exclude=barred).select("item", "id", "score", "rank").collect()))
+
+
 def test_portions_of_pairs_end_between_rows(monkeypatch):
     from sparkshelf.operators import sparse_profiles
 
